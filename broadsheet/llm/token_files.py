@@ -11,6 +11,7 @@ Null texts count as empty; each document gets its end id. Rows of equal doc_id c
 from __future__ import annotations
 
 import functools
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -120,20 +121,19 @@ class LibraryIds:
         self.library, self.memo = Tokenizer.from_file(path), {}
         self.library.no_truncation()
         self.library.no_padding()
+        self.kind = "H" if self.v.dtype.itemsize == 2 else "I"
 
-    def __call__(self, text: str) -> bytes:
-        if any(a in text for a in self.v.added):  # the library cuts these out first
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.v.dtype).tobytes()
-        pieces = self.v.pieces(text)
-        try:
-            return b"".join(map(self.memo.__getitem__, pieces))
-        except KeyError:
-            new = list(set(pieces).difference(self.memo))
-            packed = {p: np.array(e.ids, self.v.dtype).tobytes() for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-            out = b"".join(self.memo[p] if p in self.memo else packed[p] for p in pieces)
-            if len(self.memo) < MEMO_ENTRIES:
-                self.memo.update((p, x) for p, x in packed.items() if len(p) < 64)
-            return out
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        marked = [any(a in t for a in self.v.added) for t in texts]  # the library cuts added tokens out first
+        pieces = [[] if m else self.v.pieces(t) for m, t in zip(marked, texts, strict=True)]
+        new = list(set().union(*pieces).difference(self.memo))
+        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.memo[p] = array(self.kind, e.ids).tobytes()
+        out = [array(self.kind, self.library.encode(t, add_special_tokens=False).ids).tobytes() if m else b"".join(map(self.memo.__getitem__, x)) for m, t, x in zip(marked, texts, pieces, strict=True)]
+        if len(self.memo) > MEMO_ENTRIES:
+            for p in new:
+                del self.memo[p]
+        return out
 
 
 @functools.lru_cache(2)
@@ -150,7 +150,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 b = batch.slice(k, 512)
-                ids = [encode(t or "") + end for t in b["text"].to_pylist()]
+                ids = [x + end for x in encode([t or "" for t in b["text"].to_pylist()])]
                 n = np.array([len(x) // encode.v.dtype.itemsize for x in ids], np.int64)
                 before = at + np.cumsum(n) - n
                 at += int(n.sum())
