@@ -4,14 +4,31 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from broadsheet.llm import bpe, chat, contamination, quality, token_files
-from broadsheet.storage import tables
+from broadsheet.llm import bpe, chat, contamination, lm_scores, quality, token_counts, token_files, warc
+from broadsheet.storage import materialise, tables
 
 #: Where the tokenizer lies is a parameter of the operators; this is the one that the queries use.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents go in; toxic ones come out; those of good quality are counted anew with an end id; every batch comes twice."""
+    docs, labels = tables(spark, sf_dir, "documents", "labels")
+    counts = materialise(token_counts.count_tokens(docs, TOKENIZER).withColumn("tokenizer", F.lit("byte_bpe_50k/1")), "counts")
+    marked = counts.join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality")), "doc_id")
+    rollup = token_counts.Rollup(spark)
+    batches = {
+        "1-load": counts.withColumn("op", F.lit("insert")),
+        "2-toxic": marked.filter("toxic = 1").withColumn("op", F.lit("delete")),
+        "3-end-ids": marked.filter("toxic = 0 AND quality = 1").withColumns({"op": F.lit("revise"), "n_tokens": F.col("n_tokens") + 1}),
+    }
+    for name, changes in [*batches.items(), *batches.items()]:
+        rollup.apply(name, changes)
+    return rollup.totals()
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     (docs,) = tables(spark, sf_dir, "documents")
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -23,11 +40,21 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(docs, TOKENIZER)
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    return lm_scores.score(docs)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     (docs,) = tables(spark, sf_dir, "documents")
     return token_files.digest(*token_files.write(docs, TOKENIZER))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (pages,) = tables(spark, sf_dir, "pages")
+    return warc.read(spark, warc.write(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = tables(spark, sf_dir, "documents", "benchmark")
     return contamination.measure(docs, benchmark).drop("spans")
@@ -40,5 +67,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(chat.collect_turns(every)))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_bpe_round_trip, op6_token_files, op9_decontamination, op10_chat_format)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op4_bpe_round_trip, op5_lm_scores, op6_token_files, op8_warc, op9_decontamination, op10_chat_format)}
+ORACLES: dict[str, str] = {"op5_lm_scores": lm_scores.SQL}
