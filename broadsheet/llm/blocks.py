@@ -8,7 +8,8 @@ by a block, or by a hash range, whose number grows with that of the blocks.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,10 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from broadsheet.storage import discard, materialise, new_path
 
 BLOCK_BYTES = 12 << 20
 MEMO_ENTRIES = 600_000
@@ -81,13 +85,16 @@ def stretch(data: bytes) -> np.ndarray:
 
 
 def pack(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows (id long, text string) into blocks. A text larger than a block is a block of its own."""
+    """Rows (id long, text string) into blocks, a table bucketed by block: later visits don't move the texts again.
+
+    A text larger than a block is a block of its own. Block numbers leave 24 bits for the records of a block.
+    """
 
     def run(batches):
         task, k, ids, held, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def block():
-            packed = {"block": [task << 32 | k], "ids": [np.array(ids, "<i8").tobytes()], "sizes": [np.array([*map(len, held)], "<i8").tobytes()], "texts": [zstandard.ZstdCompressor(level=3).compress(b"".join(held))]}
+            packed = {"block": [task << 16 | k], "ids": [np.array(ids, "<i8").tobytes()], "sizes": [np.array([*map(len, held)], "<i8").tobytes()], "texts": [zstandard.ZstdCompressor(level=5).compress(b"".join(held))]}
             return pa.RecordBatch.from_pydict(packed, schema=pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary())]))
 
         for b in batches:
@@ -102,7 +109,12 @@ def pack(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if held:
             yield block()
 
-    return texts.select("id", "text").mapInArrow(run, PACKED)
+    rows = materialise(texts.select("id", "text").mapInArrow(run, PACKED), "blocks")
+    spark, n = texts.sparkSession, max(1, min(rows.count(), 100_000))
+    name, path = f"blocks_{uuid.uuid4().hex}", new_path(spark, "blocks")
+    rows.repartition(n, "block").write.format("parquet").bucketBy(n, "block").option("compression", "none").option("path", path).saveAsTable(name)
+    discard(rows)
+    return spark.table(name)
 
 
 def unpack(row: dict) -> tuple[np.ndarray, list[bytes]]:
@@ -118,55 +130,63 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
+def ranges(packed: DataFrame) -> int:
+    """Bits of a hash that name its range: a few ranges for each block."""
+    return max(4, min(20, (4 * packed.count()).bit_length()))
+
+
+def spans(sorted_keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """Range, first and end of the keys in each range that has any."""
+    cuts = np.searchsorted(sorted_keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).tolist()
+    return [(i, a, z) for i, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
+
+
 def totals(packed: DataFrame, keys: Keys, least: int = 1) -> DataFrame:
-    """block, bucket, at, total: for each block the totals of its keys that reach `least`, by position among the block's keys."""
-    n = packed.count()
-    bits = max(4, min(20, (4 * n).bit_length()))
+    """block, at, value: for each block the totals of its keys that reach `least`, by position among the block's keys."""
+    bits = ranges(packed)
 
     def send(batches):
         for b in batches:
             for r in b.to_pylist():
                 k, c = keys(*unpack(r))
-                cuts = np.searchsorted(k >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).tolist()
-                spans = [(i, a, z) for i, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
-                out = {"block": pa.array([r["block"]] * len(spans), pa.int64()), "bucket": pa.array([i for i, _, _ in spans], pa.int32()), "first": pa.array([a for _, a, _ in spans], pa.int64()), "keys": pa.array([squeeze(k[a:z]) for _, a, z in spans], pa.binary()), "counts": pa.array([shrink(c[a:z]) for _, a, z in spans], pa.binary())}
+                s = spans(k, bits)
+                out = {"block": pa.array([r["block"]] * len(s), pa.int64()), "bucket": pa.array([i for i, _, _ in s], pa.int32()), "first": pa.array([a for _, a, _ in s], pa.int64()), "keys": pa.array([squeeze(k[a:z]) for _, a, z in s], pa.binary()), "counts": pa.array([shrink(c[a:z]) for _, a, z in s], pa.binary())}
                 yield pa.RecordBatch.from_pydict(out)
 
     def add(table: pa.Table) -> pa.Table:
-        rows = table.select(["block", "bucket", "first", "keys", "counts"]).to_pylist()
+        rows = table.select(["block", "first", "keys", "counts"]).to_pylist()
         parts = [unsqueeze(r["keys"]) for r in rows]
         order = np.argsort(every := np.concatenate(parts), kind="stable")
         new = np.concatenate([[True], np.diff(every[order]) != 0])
-        group = np.cumsum(new) - 1
         sums = np.add.reduceat(np.concatenate([stretch(r["counts"]) for r in rows]).astype(np.int64)[order], np.flatnonzero(new))
         total = np.empty(len(every), np.int64)
-        total[order] = sums[group]
-        total = np.minimum(total, 0xFFFFFFFF)
-        ends = np.cumsum([len(p) for p in parts])
-        out = []
-        for r, p, e in zip(rows, parts, ends, strict=True):
-            t = total[e - len(p) : e]
+        total[order] = np.minimum(sums, 0xFFFFFFFF)[np.cumsum(new) - 1]
+        out, end = [], 0
+        for r, p in zip(rows, parts, strict=True):
+            t, end = total[end : end + len(p)], end + len(p)
             at = np.flatnonzero(t >= least)
             if len(at):
-                out.append({"block": r["block"], "at": squeeze((at + r["first"]).astype(np.uint64)), "total": shrink(t[at])})
-        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("at", pa.binary()), ("total", pa.binary())]))
+                out.append({"block": r["block"], "at": squeeze((at + r["first"]).astype(np.uint64)), "value": shrink(t[at])})
+        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("at", pa.binary()), ("value", pa.binary())]))
 
     sent = packed.mapInArrow(send, "block long, bucket int, first long, keys binary, counts binary")
-    return sent.groupBy("bucket").applyInArrow(add, "block long, at binary, total binary")
+    return sent.groupBy("bucket").applyInArrow(add, "block long, at binary, value binary")
+
+
+def spread(answers: list[dict], size: int) -> np.ndarray:
+    """The values of all answers at their places, 0 elsewhere."""
+    out = np.zeros(size, np.int64)
+    for r in answers:
+        out[unsqueeze(r["at"]).astype(np.int64)] = stretch(r["value"])
+    return out
 
 
-def visit(packed: DataFrame, answers: DataFrame, keys: Keys, use: Callable[[np.ndarray, list[bytes], np.ndarray, np.ndarray], Iterator[pa.Table] | pa.Table], schema: str) -> DataFrame:
-    """use(ids, texts, keys, totals) for each block, with the totals that were answered and 0 for the other keys."""
+def visit(packed: DataFrame, answers: DataFrame, use: Callable[[dict, list[dict]], pa.Table], schema: str) -> DataFrame:
+    """use(block's row, its answers) for each block; a block without answers has none."""
 
     def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
-        tables = []
-        for r in blocks.to_pylist():
-            ids, texts = unpack(r)
-            k, _ = keys(ids, texts)
-            total = np.zeros(len(k), np.int64)
-            for a, t in zip(replies["at"], replies["total"], strict=True):
-                total[unsqueeze(a.as_py()).astype(np.int64)] = stretch(t.as_py())
-            tables.append(use(ids, texts, k, total))
-        return pa.concat_tables(tables)
+        found = replies.to_pylist()
+        return pa.concat_tables([use(r, found) for r in blocks.to_pylist()] or [empty])
 
+    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

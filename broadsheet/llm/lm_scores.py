@@ -15,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.blocks import distinct, follow, hash_words, mix, pack, totals, visit
-from broadsheet.storage import materialise
+from broadsheet.llm.blocks import distinct, follow, hash_words, mix, pack, spread, totals, unpack, visit
 
 ORDER = 3
 BACKOFF = 0.4
@@ -48,11 +47,14 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
     """doc_id, n_words, score (sum of natural logarithms, 4 decimals)."""
     keys = _keys(order)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
-    packed = materialise(pack(rows), "lm-blocks")
+    packed = pack(rows)
     sums = packed.mapInArrow(_count_words, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()
     every = int(sums[0])
 
-    def use(ids: np.ndarray, texts: list[bytes], known: np.ndarray, total: np.ndarray) -> pa.Table:
+    def use(block: dict, answers: list[dict]) -> pa.Table:
+        ids, texts = unpack(block)
+        known, _ = keys(ids, texts)
+        total = spread(answers, len(known))
         words, n = hash_words(texts)
         doc = np.repeat(np.arange(len(n)), n)
         left, place = [], np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
@@ -79,12 +81,10 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
             sums[full] = np.add.reduceat(np.log(value), (ends - n)[full])
         return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=ids == NO_ID), "n_words": pa.array(n, pa.int64()), "score": np.round(sums, 4) + 0.0})
 
-    return visit(packed, totals(packed, keys, least=2), keys, use, "doc_id long, n_words long, score double")
+    return visit(packed, totals(packed, keys, least=2), use, "doc_id long, n_words long, score double")
 
 
 def _count_words(batches):
-    from broadsheet.llm.blocks import unpack
-
     for b in batches:
         for r in b.to_pylist():
             yield pa.RecordBatch.from_pydict({"n": pa.array([sum(len(t.split()) for t in unpack(r)[1])], pa.int64())})
@@ -92,8 +92,8 @@ def _count_words(batches):
 
 SQL = f"""
 WITH words AS (
-  SELECT k, doc_id, i, w FROM (
-    SELECT row_number() OVER () AS k, doc_id, regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') AS ws FROM documents) AS d,
+  SELECT k, i, w FROM (
+    SELECT doc_id AS k, regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') AS ws FROM documents) AS d,
     unnest(ws) WITH ORDINALITY AS u (w, i) WHERE w <> ''),
 g AS (SELECT k, i, w, lag(w) OVER p AS v, lag(w, 2) OVER p AS u FROM words WINDOW p AS (PARTITION BY k ORDER BY i)),
 c1 AS (SELECT w, count(*) AS c FROM g GROUP BY w),
@@ -116,5 +116,5 @@ s2 AS (SELECT * REPLACE (CASE WHEN w2 IS NULL THEN p WHEN w2 > 0 THEN w2 / v1::D
 s3 AS (SELECT k, CASE WHEN w3 IS NULL THEN p WHEN w3 > 0 THEN w3 / v2::DOUBLE ELSE {BACKOFF} * p END AS p FROM s2),
 sums AS (SELECT k, count(*) AS n, sum(ln(p)) AS s FROM s3 GROUP BY k)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, round(coalesce(s, 0), 4)::DOUBLE AS score
-FROM (SELECT row_number() OVER () AS k, doc_id FROM documents) AS d LEFT JOIN sums USING (k)
+FROM documents AS d LEFT JOIN sums ON k = doc_id
 """
