@@ -1,6 +1,6 @@
 """Key counts over a corpus without a row per key: documents in blocks, keys in sorted arrays, an exchange by hash range.
 
-``pack`` lays documents into blocks of bounded size, each a row. ``totals`` lets every block send its distinct keys (64-bit hashes, with counts) to the
+``pack`` lays documents into blocks of bounded size, each a row. ``ask`` lets every block send its distinct keys (64-bit hashes, with counts) to the
 tables of their hash ranges, which add them up and answer each block with the totals of its keys. ``visit`` brings blocks and answers
 together. A key has one entry in each block that holds it, however often it occurs there, so frequent keys don't skew any range. Work in memory is bounded
 by a block, or by a hash range, whose number grows with that of the blocks.
@@ -10,23 +10,27 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from broadsheet.storage import discard, materialise, new_path
 
-BLOCK_BYTES = 12 << 20
-MEMO_ENTRIES = 600_000
-PACKED = "block long, ids binary, sizes binary, texts binary"
-
-Keys = Callable[[np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray]]
+BLOCK_BYTES = 8 << 20
+MEMO_ENTRIES = 300_000
+PACKED = "block long, ids binary, sizes binary, texts binary, rows binary"
+BLOCK = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("ids", "sizes", "texts", "rows"))])
+#: Stands for a null doc_id, before all others.
+NO_ID = -(1 << 63)
 
 
 class _Hashes(dict):
@@ -44,12 +48,13 @@ _HASHES = _Hashes()
 
 def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (runs of anything but ASCII white space) of all texts, and each text's number of words."""
-    words, n = [], []
-    for t in texts:
+    parts, look_up = [np.empty(0, np.uint64)], _HASHES.__getitem__
+    n = np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):
         w = t.split()
-        n.append(len(w))
-        words += w
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)), np.array(n, np.int64)
+        n[i] = len(w)
+        parts.append(np.fromiter(map(look_up, w), np.uint64, len(w)))
+    return np.concatenate(parts), n
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,39 +89,66 @@ def stretch(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-def pack(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows (id long, text string) into blocks, a table bucketed by block: later visits don't move the texts again.
+def pack(docs: DataFrame, whole: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Documents into blocks, a table bucketed by block: later visits don't move the texts again.
 
-    A text larger than a block is a block of its own. Block numbers leave 24 bits for the records of a block.
+    A null doc_id counts as NO_ID, a null text as empty; whole: the rows come along, for ``rows_again``. A text larger than a block is a block
+    of its own. Block numbers leave RECORD_BITS bits for the records of a block.
     """
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").cast("binary").alias("text"), *([F.struct(*(docs[c] for c in docs.columns)).alias("row")] if whole else []))
 
     def run(batches):
-        task, k, ids, held, size = TaskContext.get().partitionId(), 0, [], [], 0
+        task, k, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def block():
-            packed = {"block": [task << 16 | k], "ids": [np.array(ids, "<i8").tobytes()], "sizes": [np.array([*map(len, held)], "<i8").tobytes()], "texts": [zstandard.ZstdCompressor(level=5).compress(b"".join(held))]}
-            return pa.RecordBatch.from_pydict(packed, schema=pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary())]))
+            t = pa.Table.from_batches(held)
+            texts = [x.as_py() or b"" for x in t["text"]]
+            squash = zstandard.ZstdCompressor(level=5).compress
+            packed = {"block": task << 16 | k, "ids": t["id"].to_numpy().astype("<i8").tobytes(), "sizes": np.array([*map(len, texts)], "<i8").tobytes(), "texts": squash(b"".join(texts)), "rows": squash(_stream(t["row"])) if whole else None}
+            return pa.RecordBatch.from_pylist([packed], BLOCK)
 
         for b in batches:
-            for i, t in zip(b["id"].to_pylist(), b["text"].cast(pa.binary()), strict=True):
-                t = t.as_py() or b""
-                if held and size + len(t) > block_bytes:
+            sizes = pc.fill_null(pc.binary_length(b["text"]), 0).to_numpy(zero_copy_only=False)
+            first = 0
+            for at, n in enumerate(sizes.tolist()):
+                if size and size + n > block_bytes:
+                    held.append(b.slice(first, at - first))
                     yield block()
-                    k, ids, held, size = k + 1, [], [], 0
-                ids.append(i)
-                held.append(t)
-                size += len(t)
-        if held:
+                    k, held, size, first = k + 1, [], 0, at
+                size += n
+            held.append(b.slice(first))
+        if any(h.num_rows for h in held):
             yield block()
 
-    rows = materialise(texts.select("id", "text").mapInArrow(run, PACKED), "blocks")
-    spark, n = texts.sparkSession, max(1, min(rows.count(), 100_000))
+    blocks = materialise(rows.mapInArrow(run, PACKED), "blocks")
+    spark, n = docs.sparkSession, max(1, min(blocks.count(), 100_000))
     name, path = f"blocks_{uuid.uuid4().hex}", new_path(spark, "blocks")
-    rows.repartition(n, "block").write.format("parquet").bucketBy(n, "block").option("compression", "none").option("path", path).saveAsTable(name)
-    discard(rows)
+    blocks.repartition(n, "block").write.format("parquet").bucketBy(n, "block").option("compression", "none").option("path", path).saveAsTable(name)
+    discard(blocks)
     return spark.table(name)
 
 
+def _stream(rows: pa.ChunkedArray) -> bytes:
+    """Rows but their texts, which the block has already."""
+    t = pa.table({str(k): f for k, f in enumerate(rows.combine_chunks().flatten() if rows.num_chunks != 1 else rows.chunk(0).flatten())})
+    names = [f.name for f in rows.type]
+    t = t.set_column(names.index("text"), str(names.index("text")), pc.is_null(t[names.index("text")]))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema) as w:
+        w.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def rows_again(block: dict, schema: StructType, texts: list[bytes] | None = None) -> pa.Table:
+    """The rows of a block packed whole, with other texts if given; null texts stay null."""
+    t = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompressobj().decompress(block["rows"])).read_all()
+    place = schema.fieldNames().index("text")
+    texts = unpack(block)[1] if texts is None else texts
+    back = pa.array([None if gone else x for gone, x in zip(t[place].to_pylist(), texts, strict=True)], pa.binary()).cast(pa.string())
+    target = to_arrow_schema(schema)
+    return pa.Table.from_arrays([back if k == place else t[k] for k in range(len(target))], target.names).cast(target)
+
+
 def unpack(row: dict) -> tuple[np.ndarray, list[bytes]]:
     sizes = np.frombuffer(row["sizes"], "<i8")
     raw, ends = zstandard.ZstdDecompressor().decompress(row["texts"], max_output_size=int(sizes.sum())) if sizes.sum() else b"", np.cumsum(sizes).tolist()
@@ -130,6 +162,15 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
+def places(keys: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many distinct keys there are, and the place of each key among them."""
+    order = np.argsort(keys)
+    s = keys[order]
+    at = np.empty(len(keys), np.int32)
+    at[order] = np.cumsum(np.concatenate([[False], s[1:] != s[:-1]]), dtype=np.int32) if len(keys) else 0
+    return (int(at.max()) + 1 if len(keys) else 0), at
+
+
 def ranges(packed: DataFrame) -> int:
     """Bits of a hash that name its range: a few ranges for each block."""
     return max(4, min(20, (4 * packed.count()).bit_length()))
@@ -141,42 +182,95 @@ def spans(sorted_keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     return [(i, a, z) for i, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
 
 
-def totals(packed: DataFrame, keys: Keys, least: int = 1) -> DataFrame:
-    """block, at, value: for each block the totals of its keys that reach `least`, by position among the block's keys."""
+MESSAGE = pa.schema([("block", pa.int64()), ("kind", pa.string()), ("bucket", pa.int32()), ("first", pa.int64()), *((c, pa.binary()) for c in ("keys", "counts", "second", "number", "id"))])
+ANSWER = pa.schema([("block", pa.int64()), ("kind", pa.string()), *((c, pa.binary()) for c in ("at", "value", "owner", "owner_id"))])
+ANSWERS = "block long, kind string, at binary, value binary, owner binary, owner_id binary"
+#: Bits for a record's number within its block.
+RECORD_BITS = 24
+
+
+@dataclass
+class Marks:
+    """Records that may equal others: number within the block (ascending), 128 bits of hash, and the id that orders them."""
+
+    number: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    id: np.ndarray
+
+
+def ask(packed: DataFrame, tell: Callable[[dict], tuple[np.ndarray, np.ndarray, Marks | None]], least: int = 1) -> DataFrame:
+    """tell(block's row) gives its distinct keys, their counts, and records that may have equals. The answers to each block, by kind:
+
+    "sum": by position among the block's keys, the totals over all blocks, of keys whose total reaches `least`;
+    "own": by number, 1 where a record is the first of its equals (by id, then record), with that first record and its id.
+    """
     bits = ranges(packed)
 
     def send(batches):
         for b in batches:
             for r in b.to_pylist():
-                k, c = keys(*unpack(r))
-                s = spans(k, bits)
-                out = {"block": pa.array([r["block"]] * len(s), pa.int64()), "bucket": pa.array([i for i, _, _ in s], pa.int32()), "first": pa.array([a for _, a, _ in s], pa.int64()), "keys": pa.array([squeeze(k[a:z]) for _, a, z in s], pa.binary()), "counts": pa.array([shrink(c[a:z]) for _, a, z in s], pa.binary())}
-                yield pa.RecordBatch.from_pydict(out)
-
-    def add(table: pa.Table) -> pa.Table:
-        rows = table.select(["block", "first", "keys", "counts"]).to_pylist()
-        parts = [unsqueeze(r["keys"]) for r in rows]
-        order = np.argsort(every := np.concatenate(parts), kind="stable")
-        new = np.concatenate([[True], np.diff(every[order]) != 0])
-        sums = np.add.reduceat(np.concatenate([stretch(r["counts"]) for r in rows]).astype(np.int64)[order], np.flatnonzero(new))
-        total = np.empty(len(every), np.int64)
-        total[order] = np.minimum(sums, 0xFFFFFFFF)[np.cumsum(new) - 1]
-        out, end = [], 0
-        for r, p in zip(rows, parts, strict=True):
-            t, end = total[end : end + len(p)], end + len(p)
-            at = np.flatnonzero(t >= least)
-            if len(at):
-                out.append({"block": r["block"], "at": squeeze((at + r["first"]).astype(np.uint64)), "value": shrink(t[at])})
-        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("at", pa.binary()), ("value", pa.binary())]))
-
-    sent = packed.mapInArrow(send, "block long, bucket int, first long, keys binary, counts binary")
-    return sent.groupBy("bucket").applyInArrow(add, "block long, at binary, value binary")
-
-
-def spread(answers: list[dict], size: int) -> np.ndarray:
-    """The values of all answers at their places, 0 elsewhere."""
+                keys, counts, marks = tell(r)
+                rows = [{"block": r["block"], "kind": "sum", "bucket": i, "first": a, "keys": squeeze(keys[a:z]), "counts": shrink(counts[a:z])} for i, a, z in spans(keys, bits)]
+                if marks is not None:
+                    order = np.argsort(marks.first, kind="stable")
+                    m = Marks(*(x[order] for x in (marks.number, marks.first, marks.second, marks.id)))
+                    rows += [{"block": r["block"], "kind": "own", "bucket": i, "keys": m.first[a:z].tobytes(), "second": m.second[a:z].tobytes(), "number": m.number[a:z].astype("<i8").tobytes(), "id": m.id[a:z].astype("<i8").tobytes()} for i, a, z in spans(m.first, bits)]
+                yield pa.RecordBatch.from_pylist(rows, MESSAGE)
+
+    def answer(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        return pa.Table.from_pylist([*_sums([r for r in rows if r["kind"] == "sum"], least), *_owners([r for r in rows if r["kind"] == "own"])], ANSWER)
+
+    sent = packed.mapInArrow(send, "block long, kind string, bucket int, first long, keys binary, counts binary, second binary, number binary, id binary")
+    return sent.groupBy("bucket").applyInArrow(answer, ANSWERS)
+
+
+def _sums(rows: list[dict], least: int) -> list[dict]:
+    if not rows:
+        return []
+    parts = [unsqueeze(r["keys"]) for r in rows]
+    order = np.argsort(every := np.concatenate(parts), kind="stable")
+    new = np.concatenate([[True], np.diff(every[order]) != 0])
+    sums = np.add.reduceat(np.concatenate([stretch(r["counts"]) for r in rows]).astype(np.int64)[order], np.flatnonzero(new))
+    total = np.empty(len(every), np.int64)
+    total[order] = np.minimum(sums, 0xFFFFFFFF)[np.cumsum(new) - 1]
+    out, end = [], 0
+    for r, p in zip(rows, parts, strict=True):
+        t, end = total[end : end + len(p)], end + len(p)
+        at = np.flatnonzero(t >= least)
+        if len(at):
+            out.append({"block": r["block"], "kind": "sum", "at": squeeze((at + r["first"]).astype(np.uint64)), "value": shrink(t[at])})
+    return out
+
+
+def _owners(rows: list[dict]) -> list[dict]:
+    if not rows:
+        return []
+    column = lambda c, kind: [np.frombuffer(r[c], kind) for r in rows]
+    numbers = column("number", "<i8")
+    record = np.concatenate([r["block"] << RECORD_BITS | n for r, n in zip(rows, numbers, strict=True)])
+    first, second, ids = (np.concatenate(column(c, kind)) for c, kind in (("keys", "<u8"), ("second", "<u8"), ("id", "<i8")))
+    order = np.lexsort((record, ids, second, first))
+    new = np.concatenate([[True], (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0)])
+    lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    owner, owner_id = np.empty_like(record), np.empty_like(ids)
+    owner[order], owner_id[order] = record[lead], ids[lead]
+    out, end = [], 0
+    for r, n in zip(rows, numbers, strict=True):
+        here = slice(end, end + len(n))
+        end += len(n)
+        by = np.argsort(n)
+        out.append({"block": r["block"], "kind": "own", "at": squeeze(n[by].astype(np.uint64)), "value": shrink((owner[here] == record[here])[by].astype(np.int64)), "owner": owner[here][by].tobytes(), "owner_id": owner_id[here][by].tobytes()})
+    return out
+
+
+def spread(answers: list[dict], size: int, kind: str = "sum") -> np.ndarray:
+    """The values of all answers of a kind at their places, 0 elsewhere."""
     out = np.zeros(size, np.int64)
     for r in answers:
+        if r["kind"] != kind:
+            continue
         out[unsqueeze(r["at"]).astype(np.int64)] = stretch(r["value"])
     return out
 

@@ -15,11 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.blocks import distinct, follow, hash_words, mix, pack, spread, totals, unpack, visit
+from broadsheet.llm.blocks import NO_ID, ask, distinct, follow, hash_words, mix, pack, places, spread, unpack, visit
 
 ORDER = 3
 BACKOFF = 0.4
-NO_ID = -(1 << 63)
 _SEEDS = [np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)]
 
 
@@ -46,21 +45,24 @@ def _keys(order: int):
 def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
     """doc_id, n_words, score (sum of natural logarithms, 4 decimals)."""
     keys = _keys(order)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
-    packed = pack(rows)
+    packed = pack(docs)
     sums = packed.mapInArrow(_count_words, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()
     every = int(sums[0])
 
     def use(block: dict, answers: list[dict]) -> pa.Table:
         ids, texts = unpack(block)
-        known, _ = keys(ids, texts)
-        total = spread(answers, len(known))
         words, n = hash_words(texts)
+        del texts
         doc = np.repeat(np.arange(len(n)), n)
-        left, place = [], np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
-        for g in grams(words, n, order):
-            at = np.searchsorted(known, g)
-            count = np.where(g == 0, 0, total[np.minimum(at, len(known) - 1)]) if len(known) else np.zeros(len(g), np.int64)
+        place = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
+        found = grams(words, n, order)
+        real = [g != 0 for g in found]
+        known, at = places(np.concatenate([g[r] for g, r in zip(found, real, strict=True)]))
+        total = spread(answers, known)[at]
+        left, end = [], 0
+        for g, r in zip(found, real, strict=True):
+            count = np.zeros(len(g), np.int64)
+            count[r] = total[end : (end := end + int(r.sum()))]
             shared = np.flatnonzero(count > 1)  # others can only have it then
             pair = mix(g[shared] + mix(doc[shared].astype(np.uint64) + _SEEDS[1]))
             _, back, own = np.unique(pair, return_inverse=True, return_counts=True)
@@ -81,7 +83,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
             sums[full] = np.add.reduceat(np.log(value), (ends - n)[full])
         return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=ids == NO_ID), "n_words": pa.array(n, pa.int64()), "score": np.round(sums, 4) + 0.0})
 
-    return visit(packed, totals(packed, keys, least=2), use, "doc_id long, n_words long, score double")
+    return visit(packed, ask(packed, lambda r: (*keys(*unpack(r)), None), least=2), use, "doc_id long, n_words long, score double")
 
 
 def _count_words(batches):

@@ -36,8 +36,9 @@ CUTOFF = 9.0
 BINS_PER_OCTAVE = 16
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of every whole text."""
+def statistics(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of every whole text; whole: and row, all columns."""
+    more = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if whole else []
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.filter(F.split(text, f"[{SPACE}]+", -1), lambda w: w != "")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
@@ -48,8 +49,9 @@ def statistics(docs: DataFrame) -> DataFrame:
         bind(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeated_words(w).alias("repeated"))).alias("w"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        *more,
     )
-    out = rows.select("doc_id", "lang", "source", F.col("w.n").alias("n_words"), F.col("w.chars").alias("word_chars"), "n_symbols", "n_dup_lines", F.col("w.repeated").alias("n_repeat_words"))
+    out = rows.select("doc_id", "lang", "source", F.col("w.n").alias("n_words"), F.col("w.chars").alias("word_chars"), "n_symbols", "n_dup_lines", F.col("w.repeated").alias("n_repeat_words"), *(["row"] if whole else []))
     return out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")))
 
 
@@ -169,13 +171,22 @@ def estimates(x: DataFrame) -> DataFrame:
     return found
 
 
+def _judged(stats: DataFrame, found: DataFrame) -> DataFrame:
+    """stats with distance (null where the base rules or a small group decide) and kept."""
+    p = len(features())
+    base = F.col("base_failed")
+    x = stats.withColumns({name: F.when(~base, F.round(value * SCALE).cast("long")) for name, value, _ in features()})
+    out = _with(x, found).withColumn("distance", F.when(~base & (F.col("rows") >= LEAST_ROWS), F.sqrt(_distance(p))))
+    return out.select(*stats.columns, "distance", (~base & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)).alias("kept"))
+
+
 def judge(docs: DataFrame) -> DataFrame:
-    """The statistics of each document, kept, and its robust distance (null where the base rules or a small group decide)."""
-    floors = [f for _, _, f in features()]
+    """The statistics of each document, its robust distance, and whether it is kept."""
     stats = materialise(statistics(docs), "quality")
-    x = vectors(stats)
-    measured = _with(vectors(stats), estimates(x)).select("*", F.when(F.col("rows") >= LEAST_ROWS, F.sqrt(_distance(len(floors)))).alias("distance"))
-    columns = ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    failed = stats.filter("base_failed").select(*columns, F.lit(None).cast("double").alias("distance"))
-    out = measured.select(*columns, "distance").unionByName(failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF))
+    return _judged(stats, estimates(vectors(stats)))
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, all columns as they were. Texts stay where they are: the last pass works their statistics out again."""
+    found = estimates(vectors(materialise(statistics(docs), "quality")))
+    return _judged(statistics(docs, whole=True), found).filter("kept").select("row.*")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import bpe, chat, contamination, lm_scores, quality, token_counts, token_files, warc
+from broadsheet.llm import bpe, chat, contamination, line_dedup, lm_scores, near_duplicates, quality, token_counts, token_files, warc
 from broadsheet.storage import materialise, tables
 
 #: Where the tokenizer lies is a parameter of the operators; this is the one that the queries use.
@@ -35,6 +35,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select(*first, "distance")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    return near_duplicates.near_duplicates(docs)
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     (docs,) = tables(spark, sf_dir, "documents")
     return bpe.digest_documents(docs, TOKENIZER)
@@ -50,6 +55,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(*token_files.write(docs, TOKENIZER))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    return line_dedup.measure_lines(docs)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     (pages,) = tables(spark, sf_dir, "pages")
     return warc.read(spark, warc.write(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -67,5 +77,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(chat.collect_turns(every)))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op4_bpe_round_trip, op5_lm_scores, op6_token_files, op8_warc, op9_decontamination, op10_chat_format)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_quality_rules,
+        op3_near_duplicates,
+        op4_bpe_round_trip,
+        op5_lm_scores,
+        op6_token_files,
+        op7_line_dedup,
+        op8_warc,
+        op9_decontamination,
+        op10_chat_format,
+    )
+}
 ORACLES: dict[str, str] = {"op5_lm_scores": lm_scores.SQL}

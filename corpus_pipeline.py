@@ -4,16 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import bpe, queries
+from broadsheet.llm import bpe, contamination, line_dedup, near_duplicates, quality, queries
 from broadsheet.storage import materialise
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: rejected documents go."""
+    return quality.keep_good(docs)
+
+
+def line_similarity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: lines like an earlier one go."""
+    return line_dedup.dedup_lines(docs)
+
+
+def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: one document of each group of near duplicates stays."""
+    return near_duplicates.one_of_each_group(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: contaminated documents go, shorter matches are cut out."""
+    return contamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: every kept text as ids. The last stage: one row per document with its ids."""
     return bpe.encode_documents(docs, queries.TOKENIZER)
 
 
-STAGES = [("bpe_encoding", encode)]
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_similarity), ("near_duplicates", near_duplicate_join), ("decontamination", decontamination), ("bpe_encoding", encode)]
 
 #: The quality rules' estimates and the tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
