@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from broadsheet.plans import text_queries  # noqa: F401  (registers)
+from broadsheet.plans.registry import ORACLES, QUERIES  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "j05_nearest_above"
+FLAGSHIP = "t05_keywords"
