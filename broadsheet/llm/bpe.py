@@ -15,6 +15,8 @@ import hashlib
 import heapq
 import json
 import re
+import sys
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,6 +41,19 @@ def byte_alphabet() -> list[str]:
     return [shown[b] for b in range(256)]
 
 
+def unsettled() -> str:
+    """A character class of what Python's Unicode tables have no category for: newer tables may call such a character a letter, others not."""
+    out, start = [], None
+    for c in range(0x80, sys.maxunicode + 2):
+        free = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
+        if free and start is None:
+            start = c
+        elif not free and start is not None:
+            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return "[" + "".join(out) + "]"
+
+
 def sufficient_lookahead(merges: list[tuple[int, int, int]], width: dict[int, int]) -> int:
     """Bytes right of a boundary that can decide whether it survives.
 
@@ -90,12 +105,12 @@ class Vocabulary:
         self.lookahead = sufficient_lookahead(merges, {i: len(x) for i, x in enumerate(self.bytes_of)})
         self.dtype = np.dtype("<u2" if len(self.bytes_of) <= 1 << 16 else "<u4")
         self.plain, self.plain_split = re.compile(self.PLAIN), re.compile(self.PLAIN_SPLIT)
-        self.split, self.unassigned = regex.compile(self.SPLIT), regex.compile(r"\p{Cn}")
+        self.split, self.unassigned = regex.compile(self.SPLIT), re.compile(unsettled())
         self.splitter = pre_tokenizers.ByteLevel(add_prefix_space=False)
         self.decimal = [str(i) for i in range(len(self.bytes_of))]
 
     def pieces(self, text: str) -> list[str]:
-        """The pieces that merges don't cross. Characters that our Unicode tables lack are left to the library's."""
+        """The pieces that merges don't cross. Texts with characters on which Unicode tables differ are left to the library's."""
         if self.plain.fullmatch(text):
             return self.plain_split.findall(text)
         if not self.unassigned.search(text):

@@ -25,8 +25,8 @@ from broadsheet.llm.bpe import MEMO_ENTRIES, Vocabulary, vocabulary
 from broadsheet.storage import discard, materialise
 
 LIMIT = 20
-BLOCK_IDS = 1 << 16
-CHECKPOINT = 256
+BLOCK_IDS = 1 << 18
+CHECKPOINT = 128
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -167,8 +167,8 @@ def count_ids(ids: DataFrame, size: int, dtype: str) -> np.ndarray:
     def run(batches):
         total = np.zeros(size, np.int64)
         for b in batches:
-            for x in b["ids"]:
-                total += np.bincount(np.frombuffer(x.as_buffer(), dtype), minlength=size)
+            for k in range(0, b.num_rows, 512):
+                total += np.bincount(np.frombuffer(b"".join(b["ids"].slice(k, 512).to_pylist()), dtype), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(used, pa.int32()), "n": total[used]})
 
