@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Large-star and small-star rounds; each round's edges are a table in the shared folder. Null ends are ignored; loops and repeated edges are
     allowed, and a node with nothing but a loop is its own component.
     """
-    given = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    given = materialise(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL"), "links")
     nodes = given.select(F.col("a").alias("node")).union(given.select("b")).distinct()
     now = materialise(given.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
