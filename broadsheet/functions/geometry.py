@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Box:
-    """The columns of a box."""
+    """The columns of a box, prefix + x1 and so on, made when they are asked for (a module may name boxes before there is a session)."""
 
-    x1: Column
-    y1: Column
-    x2: Column
-    y2: Column
+    prefix: str = ""
+
+    x1 = property(lambda self: F.col(f"{self.prefix}x1"))
+    y1 = property(lambda self: F.col(f"{self.prefix}y1"))
+    x2 = property(lambda self: F.col(f"{self.prefix}x2"))
+    y2 = property(lambda self: F.col(f"{self.prefix}y2"))
 
     @property
     def width(self) -> Column:
@@ -45,7 +47,7 @@ class Box:
 
 def box(prefix: str = "") -> Box:
     """The box in columns prefix + x1 and so on; a prefix like "a." names a relation or struct."""
-    return Box(*(F.col(f"{prefix}{c}") for c in ("x1", "y1", "x2", "y2")))
+    return Box(prefix)
 
 
 def x_overlap(a: Box, b: Box) -> Column:

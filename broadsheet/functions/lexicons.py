@@ -78,3 +78,7 @@ ARTICLE_SIGNS = [":", ";", "?", "!", "'", '"', " CM ", " PM ", " CONGRESS ", " P
 SECTION_HEADER = [r"^[A-Z ]+\s+\d+$", r"^[ऀ-ॿ ]+\s*\d+$"]
 CAPTION_LINES = [r"^PHOTO\s*:", r"^FILE\s*PHOTO", r"^FILE\s*:", r"^PHOTO\s+BY", r"^COURTESY\s+", r"^PIC\s*:", r"^IMAGE\s*:"]
 CAPTION_LINES_DEVANAGARI = [r"^फोटो\s*:", r"^फ़ोटो\s*:", r"^फाइल\s*फोटो", r"^तस्वीर\s*:", r"^चित्र\s*:", r"^सौजन्य\s*:", r"^तस्वीर\s*सौजन्य"]
+
+# Classes of layout blocks.
+IMAGES = ["figure", "image", "photo", "picture"]
+TEXTUAL = ["plain text", "title", "figure_caption"]

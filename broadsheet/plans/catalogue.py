@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from broadsheet.plans import text_queries  # noqa: F401  (registers)
+from broadsheet.plans import layout_queries, text_queries  # noqa: F401  (they register)
 from broadsheet.plans.registry import ORACLES, QUERIES  # noqa: F401
 
-FLAGSHIP = "t05_keywords"
+FLAGSHIP = "j05_nearest_above"
