@@ -15,7 +15,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -26,42 +25,79 @@ from pyspark.sql.types import StructType
 from broadsheet.storage import discard, materialise, new_path
 
 BLOCK_BYTES = 8 << 20
-MEMO_ENTRIES = 300_000
 PACKED = "block long, ids binary, sizes binary, texts binary, rows binary"
 BLOCK = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("ids", "sizes", "texts", "rows"))])
 #: Stands for a null doc_id, before all others.
 NO_ID = -(1 << 63)
 
 
-class _Hashes(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < MEMO_ENTRIES:
-            self[word] = h
-        return h
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads them evenly."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-_HASHES = _Hashes()
+_SOLID = np.ones(256, bool)
+_SOLID[[0x20, *range(0x09, 0x0E)]] = False
+#: A word's hash is the sum of a random number for each byte and its place in the word; these are the numbers of the first places.
+_PLACES = 64
+_NUMBERS = mix(np.arange(_PLACES << 8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x13198A2E03707344))
+HASH_BYTES = 1 << 18
+
+
+def _hash_buffer(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of a buffer."""
+    a = np.frombuffer(data, np.uint8)
+    solid = _SOLID[a]
+    edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    if not len(start):
+        return start, np.empty(0, np.uint64)
+    first = np.cumsum(size) - size
+    key = np.arange(first[-1] + size[-1]) - np.repeat(first, size)
+    key <<= 8
+    key += a[solid]
+    value = _NUMBERS[np.minimum(key, (_PLACES << 8) - 1)]
+    if size.max() > _PLACES:
+        far = np.flatnonzero(key >= _PLACES << 8)
+        value[far] = mix(key[far].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x13198A2E03707344))
+    return start, mix(np.add.reduceat(value, first) + size.astype(np.uint64))
 
 
 def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (runs of anything but ASCII white space) of all texts, and each text's number of words."""
-    parts, look_up = [np.empty(0, np.uint64)], _HASHES.__getitem__
-    n = np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        w = t.split()
-        n[i] = len(w)
-        parts.append(np.fromiter(map(look_up, w), np.uint64, len(w)))
-    return np.concatenate(parts), n
-
+    """64-bit hashes of all words (runs of anything but ASCII white space) of all texts, and each text's number of words."""
+    hashes, n = [np.empty(0, np.uint64)], np.zeros(len(texts), np.int64)
+    held, at, size = [], 0, 0
+
+    def flush(end: int) -> None:
+        nonlocal held, at, size
+        start, h = _hash_buffer(b"\n".join(held))
+        hashes.append(h)
+        offsets = np.cumsum([0, *(len(t) + 1 for t in held)])
+        n[at:end] = np.diff(np.searchsorted(start, offsets))
+        held, at, size = [], end, 0
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads them evenly."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    for i, t in enumerate(texts):
+        if len(t) > HASH_BYTES:  # in parts that end between words
+            flush(i)
+            p = 0
+            while p < len(t):
+                q = min(p + HASH_BYTES, len(t))
+                while q < len(t) and _SOLID[t[q]]:
+                    q += 1
+                _, h = _hash_buffer(t[p:q])
+                hashes.append(h)
+                n[i] += len(h)
+                p = q
+            at = i + 1
+            continue
+        held.append(t)
+        size += len(t)
+        if size > HASH_BYTES:
+            flush(i + 1)
+    flush(len(texts))
+    return np.concatenate(hashes), n
 
 
 def follow(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -103,7 +139,7 @@ def pack(docs: DataFrame, whole: bool = False, block_bytes: int = BLOCK_BYTES) -
         def block():
             t = pa.Table.from_batches(held)
             texts = [x.as_py() or b"" for x in t["text"]]
-            squash = zstandard.ZstdCompressor(level=5).compress
+            squash = zstandard.ZstdCompressor(level=3).compress
             packed = {"block": task << 16 | k, "ids": t["id"].to_numpy().astype("<i8").tobytes(), "sizes": np.array([*map(len, texts)], "<i8").tobytes(), "texts": squash(b"".join(texts)), "rows": squash(_stream(t["row"])) if whole else None}
             return pa.RecordBatch.from_pylist([packed], BLOCK)
 
@@ -230,7 +266,7 @@ def _sums(rows: list[dict], least: int) -> list[dict]:
     if not rows:
         return []
     parts = [unsqueeze(r["keys"]) for r in rows]
-    order = np.argsort(every := np.concatenate(parts), kind="stable")
+    order = np.argsort(every := np.concatenate(parts))
     new = np.concatenate([[True], np.diff(every[order]) != 0])
     sums = np.add.reduceat(np.concatenate([stretch(r["counts"]) for r in rows]).astype(np.int64)[order], np.flatnonzero(new))
     total = np.empty(len(every), np.int64)

@@ -114,7 +114,7 @@ def postings(packed: DataFrame, answers: DataFrame, read: Reader, threshold: Thr
         n = sets.sizes
         pick = (place < (n - threshold.least(n) + 1)[owner]) & (total[at[order]] > 1) & own[owner]
         who, element, place = owner[pick], sets.elements[order[pick]], place[pick]
-        order = np.argsort(element, kind="stable")
+        order = np.argsort(element)
         who, element, place = who[order], element[order], place[order]
         maps = bitmaps(sets)
         out = []
@@ -148,7 +148,7 @@ def link(table: pa.Table, threshold: Threshold, chain_above: int | None) -> pa.T
     column = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[name]])
     element, record, size, place = column("element", "<u8"), column("record", "<i8"), column("size", "<i4").astype(np.int64), column("place", "<i4").astype(np.int64)
     bitmap = column("bitmap", "<u8").reshape(len(element), -1)
-    order = np.lexsort((record, size, element))
+    order = np.argsort(places(element)[1].astype(np.int64) << 32 | size)
     element, record, size, place, bitmap = element[order], record[order], size[order], place[order], bitmap[order]
     nodes, node = np.unique(record, return_inverse=True)
     label = np.arange(len(nodes))

@@ -21,12 +21,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from broadsheet.llm.bpe import MEMO_ENTRIES, Vocabulary, vocabulary
+from broadsheet.llm.bpe import Vocabulary, vocabulary
 from broadsheet.storage import discard, materialise
 
 LIMIT = 20
 BLOCK_IDS = 1 << 18
 CHECKPOINT = 128
+#: Pieces that a worker remembers the library's answer to.
+MEMO_ENTRIES = 700_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
