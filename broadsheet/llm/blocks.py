@@ -138,9 +138,10 @@ def pack(docs: DataFrame, whole: bool = False, block_bytes: int = BLOCK_BYTES) -
 
         def block():
             t = pa.Table.from_batches(held)
-            texts = [x.as_py() or b"" for x in t["text"]]
+            text = pa.concat_arrays([*t["text"].chunks, pa.array([], t["text"].type)])
+            sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype("<i8")
             squash = zstandard.ZstdCompressor(level=3).compress
-            packed = {"block": task << 16 | k, "ids": t["id"].to_numpy().astype("<i8").tobytes(), "sizes": np.array([*map(len, texts)], "<i8").tobytes(), "texts": squash(b"".join(texts)), "rows": squash(_stream(t["row"])) if whole else None}
+            packed = {"block": task << 16 | k, "ids": t["id"].to_numpy().astype("<i8").tobytes(), "sizes": sizes.tobytes(), "texts": squash(_joined(text)), "rows": squash(_stream(t["row"])) if whole else None}
             return pa.RecordBatch.from_pylist([packed], BLOCK)
 
         for b in batches:
@@ -164,6 +165,13 @@ def pack(docs: DataFrame, whole: bool = False, block_bytes: int = BLOCK_BYTES) -
     return spark.table(name)
 
 
+def _joined(text: pa.Array) -> pa.Buffer | bytes:
+    """All texts end to end, where they lie."""
+    offsets, data = text.buffers()[1:]
+    first, last = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(text.type) else np.int32)[[text.offset, text.offset + len(text)]].tolist() if len(text) else (0, 0)
+    return data.slice(first, last - first) if last > first else b""
+
+
 def _stream(rows: pa.ChunkedArray) -> bytes:
     """Rows but their texts, which the block has already."""
     t = pa.table({str(k): f for k, f in enumerate(rows.combine_chunks().flatten() if rows.num_chunks != 1 else rows.chunk(0).flatten())})
@@ -208,8 +216,8 @@ def places(keys: np.ndarray) -> tuple[int, np.ndarray]:
 
 
 def ranges(packed: DataFrame) -> int:
-    """Bits of a hash that name its range: a few ranges for each block."""
-    return max(4, min(20, (4 * packed.count()).bit_length()))
+    """Bits of a hash that name its range: two or more ranges for each block."""
+    return max(4, min(20, (2 * packed.count()).bit_length()))
 
 
 def spans(sorted_keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
