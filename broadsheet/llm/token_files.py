@@ -126,16 +126,24 @@ class LibraryIds:
         self.kind = "H" if self.v.dtype.itemsize == 2 else "I"
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        marked = [any(a in t for a in self.v.added) for t in texts]  # the library cuts added tokens out first
-        pieces = [[] if m else self.v.pieces(t) for m, t in zip(marked, texts, strict=True)]
-        new = list(set().union(*pieces).difference(self.memo))
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memo[p] = array(self.kind, e.ids).tobytes()
-        out = [array(self.kind, self.library.encode(t, add_special_tokens=False).ids).tobytes() if m else b"".join(map(self.memo.__getitem__, x)) for m, t, x in zip(marked, texts, pieces, strict=True)]
-        if len(self.memo) > MEMO_ENTRIES:
-            for p in new:
-                del self.memo[p]
-        return out
+        known, found, gaps = self.memo.get, [], []
+        for t in texts:
+            if any(a in t for a in self.v.added):  # the library cuts added tokens out first
+                found.append([array(self.kind, self.library.encode(t, add_special_tokens=False).ids).tobytes()])
+                continue
+            pieces = self.v.pieces(t)
+            packed = list(map(known, pieces))
+            if None in packed:
+                gaps.append((packed, [(k, p) for k, (p, x) in enumerate(zip(pieces, packed, strict=True)) if x is None]))
+            found.append(packed)
+        new = list({p for _, holes in gaps for _, p in holes})
+        answers = {p: array(self.kind, e.ids).tobytes() for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        for packed, holes in gaps:
+            for k, p in holes:
+                packed[k] = answers[p]
+        if len(self.memo) < MEMO_ENTRIES:
+            self.memo.update(answers)
+        return [b"".join(x) for x in found]
 
 
 @functools.lru_cache(2)
