@@ -119,3 +119,35 @@ def test_adapters(spark):
     assert a.ask("grouping", spark.createDataFrame([(1,)], "page_id long"), ["page_id"]).count() == 1
     with pytest.raises(NotImplementedError):
         a.ask("ocr", profile, ["page_id"])
+
+
+def test_fields(spark):
+    import datetime
+
+    from broadsheet.functions import fields, routing
+
+    assert one(spark, lambda a, b: fields.first_value(a, b, default="d"), " ", None) == "d" and one(spark, fields.first_value, " x ") == "x"
+    date = lambda stated, text: one(spark, lambda a, b: fields.article_date(a, b, F.lit(2024)), stated, text)
+    assert date("2023-02-01x", None) == datetime.date(2023, 2, 1) and date("Aug 4", "") == datetime.date(2024, 8, 4) and date("issue of March 5, 2020", "") == datetime.date(2020, 3, 5)
+    assert date(None, "PATNA, Aug 12: text") == datetime.date(2024, 8, 12) and date(None, None) is None and date("Feb 31", "") is None
+    assert [one(spark, lambda c: fields.image_items(c), v) for v in (None, "x", "{}", "[]")] == [[], [], [], []]
+    assert one(spark, fields.slug, " The Hindu-Daily! ") == "the_hindu_daily" and one(spark, lambda c: fields.highlighted(c, "a.b"), "A.B axb") == "<mark>A.B</mark> axb"
+    assert one(spark, routing.pipeline_of, None) == "hindi" and one(spark, routing.pipeline_of, "Urdu") == "urdu" and routing.dimension(spark).count() == 13
+    assert one(spark, lambda c: routing.provider(c, local=True), "te") == "local"
+    assert one(spark, lambda c: fields.page_links(F.lit(1), F.lit(1)), "") == [1] and one(spark, lambda c: fields.page_links(F.lit(5), F.lit(9)), "") == [1, 0, 4, 5, 6, 0, 9]
+
+
+def test_mastheads(spark):
+    import datetime
+
+    from broadsheet.operators import masthead as M
+
+    lines = spark.createDataFrame([(1, 0, "THE TIMES OF 1NDIA", 0.9), (1, 1, "Chandigarh 4 August 2024", 0.9), (2, 0, "Something else", 0.9), (3, 0, "The Hindu", 0.1)], "document_id long, y1 int, text string, confidence double")
+    templates = spark.createDataFrame([(1, "The Times of India"), (1, "Times of India"), (2, "The Hindu"), (3, "Hindustan Times")], "template_id int, variant string")
+    registry = spark.createDataFrame([(1, "The Times of India", "Chandigarh", True), (2, "The Hindu", None, False)], "template_id int, newspaper_name string, edition string, verified boolean")
+    assert {(r.document_id, r.template_id) for r in M.match_templates(lines, templates).collect()} == {(1, 1), (3, 2)}
+    got = M.masthead_metadata(lines, templates, registry, datetime.date(2024, 8, 3)).collect()
+    assert [(r.document_id, r.newspaper_name, r.edition, r.publish_date) for r in got] == [(1, "The Times of India", "Chandigarh", datetime.date(2024, 8, 4))]
+    old = spark.createDataFrame([("t", "A", "x", 2, False)], "template_id string, newspaper_name string, edition string, confirmation_count int, verified boolean")
+    new = {r.newspaper_name: (r.confirmation_count, r.verified) for r in M.learn(old, spark.createDataFrame([("A", "x"), ("B", "y")], "newspaper_name string, edition string")).collect()}
+    assert new == {"A": (3, True), "B": (1, False)}
