@@ -82,7 +82,7 @@ class Vocabulary:
 
     #: In texts of these characters alone, Python's own classes split alike, and faster: in them, word characters are letters, 0-9 and _.
     PLAIN = r"[\x09-\x0d\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u02af\u0400-\u0481\u048a-\u052f\u2010-\u2027\u2030-\u205e]*"
-    PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+    PLAIN_SPLIT = r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -111,7 +111,7 @@ class Vocabulary:
 
     def pieces(self, text: str) -> list[str]:
         """The pieces that merges don't cross. Texts with characters on which Unicode tables differ are left to the library's."""
-        if self.plain.fullmatch(text):
+        if (text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f")) or self.plain.fullmatch(text):
             return self.plain_split.findall(text)
         if not self.unassigned.search(text):
             return self.split.findall(text)

@@ -34,8 +34,8 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         encode = library_ids(path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                b = batch.slice(k, 512)
+            for k in range(0, batch.num_rows, 128):
+                b = batch.slice(k, 128)
                 n = [len(x) // encode.v.dtype.itemsize for x in encode([t or "" for t in b["text"].to_pylist()])]
                 yield pa.RecordBatch.from_arrays([b["doc_id"], b["source"], b["lang"], pa.array(n, pa.int64())], ["doc_id", "source", "lang", "n_tokens"])
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ LIMIT = 20
 BLOCK_IDS = 1 << 18
 CHECKPOINT = 128
 #: Pieces that a worker remembers the library's answer to.
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 900_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -115,29 +116,43 @@ def unpack(payload: bytes, marks: bytes, n: int, table: tuple[int, np.ndarray, n
     return out.reshape(-1)[:n]
 
 
+def _places_of_none(values: list) -> Iterator[int]:
+    k = -1
+    try:
+        while True:
+            yield (k := values.index(None, k + 1))
+    except ValueError:
+        return
+
+
 class LibraryIds:
     """Ids as the tokenizers library gives them; pieces that occurred before come from a memo of its answers."""
 
     def __init__(self, path: str):
         self.v: Vocabulary = vocabulary(path)
         self.library, self.memo = Tokenizer.from_file(path), {}
+        self.model = self.library.model
         self.library.no_truncation()
         self.library.no_padding()
         self.kind = "H" if self.v.dtype.itemsize == 2 else "I"
 
+    def _ask(self, piece: str) -> bytes:
+        """The library's merges of one piece, in the characters that stand for its bytes."""
+        shown = "".join(map(self.v.alphabet.__getitem__, piece.encode()))
+        return array(self.kind, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known, found, gaps = self.memo.get, [], []
+        known, found, gaps, wanted = self.memo.get, [], [], set()
         for t in texts:
             if any(a in t for a in self.v.added):  # the library cuts added tokens out first
                 found.append([array(self.kind, self.library.encode(t, add_special_tokens=False).ids).tobytes()])
                 continue
             pieces = self.v.pieces(t)
             packed = list(map(known, pieces))
-            if None in packed:
-                gaps.append((packed, [(k, p) for k, (p, x) in enumerate(zip(pieces, packed, strict=True)) if x is None]))
+            gaps.append((packed, holes := [(k, pieces[k]) for k in _places_of_none(packed)]))
+            wanted.update(p for _, p in holes)
             found.append(packed)
-        new = list({p for _, holes in gaps for _, p in holes})
-        answers = {p: array(self.kind, e.ids).tobytes() for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        answers = {p: self._ask(p) for p in wanted}
         for packed, holes in gaps:
             for k, p in holes:
                 packed[k] = answers[p]
@@ -158,8 +173,8 @@ def tokenise(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         encode, part, at = library_ids(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], encode.v.dtype).tobytes()
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                b = batch.slice(k, 512)
+            for k in range(0, batch.num_rows, 128):
+                b = batch.slice(k, 128)
                 ids = [x + end for x in encode([t or "" for t in b["text"].to_pylist()])]
                 n = np.array([len(x) // encode.v.dtype.itemsize for x in ids], np.int64)
                 before = at + np.cumsum(n) - n
