@@ -177,7 +177,9 @@ def _judged(stats: DataFrame, found: DataFrame) -> DataFrame:
     base = F.col("base_failed")
     x = stats.withColumns({name: F.when(~base, F.round(value * SCALE).cast("long")) for name, value, _ in features()})
     out = _with(x, found).withColumn("distance", F.when(~base & (F.col("rows") >= LEAST_ROWS), F.sqrt(_distance(p))))
-    return out.select(*stats.columns, "distance", (~base & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)).alias("kept"))
+    # One sum, not two conditions: Spark would push the first below the join and work the statistics out for it once more.
+    score = F.coalesce("distance", F.lit(0.0)) + F.when(base, 2 * CUTOFF).otherwise(0.0)
+    return out.select(*stats.columns, "distance", (score <= CUTOFF).alias("kept"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
