@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from broadsheet.functions import text as T
@@ -75,21 +76,24 @@ def candidates(sources: DataFrame, targets: DataFrame, pages: DataFrame) -> Data
     return mapped.join(t, "page").filter(F.col("article_id") != F.col("target_id"))
 
 
-def score(found: DataFrame) -> DataFrame:
+def score(found: DataFrame, every: bool = False) -> DataFrame:
     """source_id, target_id, score, text_score, shared: how well a target goes on from a source.
 
     Text score: 0.38 Jaccard, 0.27 trigrams, 0.20 characters around the break, 0.15 share of the smaller; then 0.58 of it and 0.20 of the headlines.
+    Characters and headlines are compared one pair at a time, so (unless `every`) only for sources of which some target could be accepted if both agreed
+    fully; the scores of the other sources lack these parts, and stay below acceptance either way.
     """
     ratio = ratio_udf()
-    o = found.withColumn("o", T.text_overlap(F.col("text"), F.col("target_text")))
-    near = F.when(F.col("o.shared") > 0, T.match_text(F.right("text", F.lit(900))))  # null otherwise: not compared
-    o = o.withColumn("chars", ratio(near, T.match_text(F.left("target_text", F.lit(900)))))
-    text = 0.38 * F.col("o.jaccard") + 0.27 * F.col("o.trigram") + 0.20 * F.col("chars") + 0.15 * F.col("o.min_share")
-    heads = ratio(T.match_text("headline"), T.match_text("target_headline"))
-    bare = T.titleless("target_headline")
-    whole = F.when(bare, 0.72 * F.col("text_score")).otherwise(0.58 * F.col("text_score") + 0.20 * F.col("heads"))
-    named = o.withColumn("text_score", text).withColumn("heads", heads)
-    return named.select(F.col("article_id").alias("source_id"), "target_id", F.bround(whole, 4).alias("score"), F.bround("text_score", 4).alias("text_score"), F.col("o.shared").alias("shared"), bare.alias("titleless"))
+    o = found.withColumn("o", T.text_overlap(F.col("text"), F.col("target_text"))).withColumn("bare", T.titleless("target_headline"))
+    sets = 0.38 * F.col("o.jaccard") + 0.27 * F.col("o.trigram") + 0.15 * F.col("o.min_share")
+    highest = F.when(F.col("bare"), 0.72 * (sets + 0.20)).otherwise(0.58 * (sets + 0.20) + 0.20)
+    hopeful = (F.col("o.shared") >= 3) & (sets + 0.20 >= 0.20 - 1e-4) & (highest >= F.when(F.col("bare"), 0.22).otherwise(0.25) - 1e-4)
+    o = o.withColumn("open", F.lit(every) | F.max(hopeful).over(W.partitionBy("article_id")))
+    near = F.when(F.col("open") & (F.col("o.shared") > 0), T.match_text(F.right("text", F.lit(900))))  # null: not compared
+    o = o.withColumn("chars", ratio(near, T.match_text(F.left("target_text", F.lit(900))))).withColumn("heads", ratio(F.when(F.col("open") & ~F.col("bare"), T.match_text("headline")), T.match_text("target_headline")))
+    named = o.withColumn("text_score", sets + 0.20 * F.col("chars"))
+    whole = F.when(F.col("bare"), 0.72 * F.col("text_score")).otherwise(0.58 * F.col("text_score") + 0.20 * F.col("heads"))
+    return named.select(F.col("article_id").alias("source_id"), "target_id", F.bround(whole, 4).alias("score"), F.bround("text_score", 4).alias("text_score"), F.col("o.shared").alias("shared"), F.col("bare").alias("titleless"))
 
 
 def accepted(scored: DataFrame, documents: Column | None = None) -> DataFrame:

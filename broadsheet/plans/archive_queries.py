@@ -286,7 +286,7 @@ def k15_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = a.filter(T.target_eligible(F.lit("article"), F.col("text"), F.col("headline")))
     t = targets.select(F.col("article_id").alias("target_id"), "document_id", F.col("page").alias("next_page"), F.col("text").alias("target_text"), F.col("headline").alias("target_headline"))
     found = sources.join(t, ["document_id", "next_page"]).filter("article_id <> target_id")
-    return K.accepted(K.score(found.repartition("article_id")), F.floor(F.col("source_id") / 50))
+    return K.accepted(K.score(found.repartition(4 * spark.sparkContext.defaultParallelism, "article_id")), F.floor(F.col("source_id") / 50))
 
 
 @query()
