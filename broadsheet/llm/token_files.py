@@ -29,7 +29,7 @@ LIMIT = 20
 BLOCK_IDS = 1 << 18
 CHECKPOINT = 128
 #: Pieces that a worker remembers the library's answer to.
-MEMO_ENTRIES = 900_000
+MEMO_ENTRIES = 1_200_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -167,38 +167,47 @@ def library_ids(path: str) -> LibraryIds:
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """part, at (ids before in that part), doc_id, n, ids (packed): parts and their rows ascend by doc_id."""
+    """part, at (ids before in that part), doc_id, n, ids (packed): parts and their rows ascend by doc_id.
+
+    A last row of each part has no ids but counts: how often it has each id (packed int64).
+    """
+    size = max(len(vocabulary(path).bytes_of), end_id + 1)
 
     def run(batches):
         encode, part, at = library_ids(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], encode.v.dtype).tobytes()
+        end, dtype = np.array([end_id], encode.v.dtype).tobytes(), encode.v.dtype
+        total = np.zeros(size, np.int64)
         for batch in batches:
             for k in range(0, batch.num_rows, 128):
                 b = batch.slice(k, 128)
                 ids = [x + end for x in encode([t or "" for t in b["text"].to_pylist()])]
-                n = np.array([len(x) // encode.v.dtype.itemsize for x in ids], np.int64)
+                total += np.bincount(np.frombuffer(b"".join(ids), dtype), minlength=size)
+                n = np.array([len(x) // dtype.itemsize for x in ids], np.int64)
                 before = at + np.cumsum(n) - n
                 at += int(n.sum())
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(ids), pa.int32()), "at": before, "doc_id": b["doc_id"], "n": n, "ids": pa.array(ids, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(ids), pa.int32()), "at": before, "doc_id": b["doc_id"], "n": n, "ids": pa.array(ids, pa.binary()), "counts": pa.nulls(len(ids), pa.binary())})
+        if at:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "at": pa.nulls(1, pa.int64()), "doc_id": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "ids": pa.nulls(1, pa.binary()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = ["doc_id", F.xxhash64("text")]
-    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "part int, at long, doc_id long, n long, ids binary")
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "part int, at long, doc_id long, n long, ids binary, counts binary")
 
 
-def count_ids(ids: DataFrame, size: int, dtype: str) -> np.ndarray:
+def count_ids(ids: DataFrame, size: int) -> np.ndarray:
     """How often each id occurs. What reaches the driver is bounded by the vocabulary."""
 
     def run(batches):
         total = np.zeros(size, np.int64)
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                total += np.bincount(np.frombuffer(b"".join(b["ids"].slice(k, 512).to_pylist()), dtype), minlength=size)
+            for x in b["counts"]:
+                total += np.frombuffer(x.as_buffer(), np.int64)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(used, pa.int32()), "n": total[used]})
 
     counts = np.zeros(size, np.int64)
-    for i, n in ids.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
+    parts = ids.filter("counts IS NOT NULL").select("counts")
+    for i, n in parts.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
         counts[i] = n
     return counts
 
@@ -207,8 +216,9 @@ def write(docs: DataFrame, path: str, end_id: int = 0) -> tuple[DataFrame, DataF
     """Encode every document and write the files; the two tables read back: blocks, codebook."""
     spark, v = docs.sparkSession, vocabulary(path)
     size, dtype = max(len(v.bytes_of), end_id + 1), v.dtype.str
-    ids = materialise(tokenise(docs, path, end_id), "ids")
-    lengths = code_lengths(count_ids(ids, size, dtype))
+    rows = materialise(tokenise(docs, path, end_id), "ids", "snappy")  # ids hardly get smaller, so the cheaper codec
+    lengths = code_lengths(count_ids(rows, size))
+    ids = rows.filter("counts IS NULL").drop("counts")
     codebook = materialise(spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary"), "codebook")
     totals = ids.groupBy("part").agg(F.sum("n").alias("n"))
     base = totals.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))  # a row per part
@@ -239,7 +249,7 @@ def write(docs: DataFrame, path: str, end_id: int = 0) -> tuple[DataFrame, DataF
 
     placed = ids.join(base, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "ids")
     blocks = materialise(placed.mapInArrow(run, "start long, doc_ids array<long>, sizes array<long>, marks binary, payload binary"), "blocks")
-    discard(ids)
+    discard(rows)
     return blocks, codebook
 
 
