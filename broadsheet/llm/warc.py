@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from broadsheet.storage import new_path
+from broadsheet.storage import materialise, new_path
 
 LEAST_BYTES = 1000
 #: A file ends after the record that brings it to so many bytes; a file is a unit of reading.
@@ -292,6 +292,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("target_uri"), payload.alias("payload"))
     p = p.withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     copies = p.filter(F.col("payload_bytes") >= LEAST_BYTES).groupBy("payload_digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    copies = materialise(copies, "copies")  # its size is known then: a small table is broadcast and payloads stay where they are
     joined = p.join(copies, "payload_digest", "left")
     again = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     return joined.select(
