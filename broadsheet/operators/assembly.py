@@ -15,7 +15,7 @@ from broadsheet.functions import geometry as G
 from broadsheet.functions import lexicons as X
 from broadsheet.functions import text as T
 from broadsheet.operators import grouping as P
-from broadsheet.operators.layout import A, B, boundaries, nearest, pairs
+from broadsheet.operators.layout import A, B, boundaries, nearest, pairs, story_shape
 
 # Predicates
 
@@ -116,15 +116,15 @@ def encroaching(groups: DataFrame, owned: DataFrame, least: float = 0.30) -> Dat
     return hit.select("page_id", F.col("a.group_id").alias("group_id")).distinct()
 
 
-def recover_dropped(free: DataFrame, owned: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Clusters of blocks that no article has (page_id, block_id, group_id) which look like a story and encroach on nothing: page_id, group_id, block_id."""
+def recover_dropped(free: DataFrame, owned: DataFrame, grouped: DataFrame, page_area: int, **limits: int) -> DataFrame:
+    """Clusters of blocks that no article has (page_id, block_id, group_id) which look like a story and encroach on nothing: page_id, group_id, block_id.
+    A page on which they would cover more than a quarter recovers none."""
     m = free.join(grouped, ["page_id", "block_id"])
-    g = m.groupBy("page_id", "group_id").agg(
-        F.count_if(F.col("cls") == "title").alias("n_titles"), F.count_if(F.col("cls") == "plain text").alias("n_paragraphs"), F.count(F.lit(1)).alias("n_blocks"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"),
-    )
-    story = g.filter("n_titles BETWEEN 1 AND 4 AND n_paragraphs >= 1 AND n_blocks <= 24")
-    clear = story.join(encroaching(story, owned), ["page_id", "group_id"], "left_anti")
-    return m.join(clear.select("page_id", "group_id"), ["page_id", "group_id"]).select("page_id", "group_id", "block_id")
+    rects = m.groupBy("page_id", "group_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    stories = story_shape(m, page_area, "group_id", **limits).filter("is_story").select("page_id", "group_id", "area")
+    clear = stories.join(encroaching(rects.join(stories, ["page_id", "group_id"], "left_semi"), owned), ["page_id", "group_id"], "left_anti")
+    modest = clear.withColumn("covered", F.sum("area").over(W.partitionBy("page_id"))).filter(4 * F.col("covered") <= page_area)
+    return m.join(modest.select("page_id", "group_id"), ["page_id", "group_id"]).select("page_id", "group_id", "block_id")
 
 
 def title_roots_to_headlines(m: DataFrame) -> DataFrame:

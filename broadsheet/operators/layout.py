@@ -258,15 +258,17 @@ def fill_ratio(m: DataFrame) -> DataFrame:
     return m.groupBy("page_id", "article_id").agg((area / G.at_least_one(box)).alias("fill"))
 
 
-def story_shape(m: DataFrame) -> DataFrame:
-    """What makes a group of blocks look like a story."""
+def story_shape(m: DataFrame, page_area: int, group: str = "article_id", least_chars: int = 600, least_mean: int = 150) -> DataFrame:
+    """What makes a group of blocks look like a story: few headlines, three paragraphs of some length, not too many blocks, a hundredth of the page."""
     n = F.length(T.text_of("text"))
     body = F.col("cls") == "plain text"
-    g = m.groupBy("page_id", "article_id").agg(
+    area = (F.max("x2") - F.min("x1")).cast("long") * (F.max("y2") - F.min("y1"))
+    g = m.groupBy("page_id", group).agg(
         F.count_if(F.col("cls") == "title").alias("n_titles"), F.count_if(body).alias("n_paragraphs"), F.sum(F.when(body, n).otherwise(0)).alias("n_chars"), F.count(F.lit(1)).alias("n_blocks"),
-        F.bool_or(F.col("cls").isin(IMAGES)).alias("has_image"),
+        F.bool_or(F.col("cls").isin(IMAGES)).alias("has_image"), area.alias("area"),
     )
-    return g.withColumn("is_story", (F.col("n_titles") <= 4) & (F.col("n_paragraphs") >= 3) & (F.col("n_chars") >= 60) & (F.col("n_blocks") <= 24))
+    long = (F.col("n_chars") >= least_chars) & (F.col("n_chars") >= least_mean * F.col("n_paragraphs"))
+    return g.withColumn("is_story", (F.col("n_titles") <= 4) & (F.col("n_paragraphs") >= 3) & long & (F.col("n_blocks") <= 24) & (100 * F.col("area") >= page_area))
 
 
 def role_breakdown(m: DataFrame) -> DataFrame:

@@ -203,7 +203,7 @@ def k13_region_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k11_dropped_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = blocks(spark, sf_dir)
     free = b.filter("block_id % 3 = 0")
-    return S.recover_dropped(free, b.filter("block_id % 3 <> 0"), L.clusters(free, fixtures.PAGE_WIDTH))
+    return S.recover_dropped(free, b.filter("block_id % 3 <> 0"), L.clusters(free, fixtures.PAGE_WIDTH), fixtures.PAGE_WIDTH * fixtures.PAGE_HEIGHT, least_chars=60, least_mean=15)
 
 
 @query()

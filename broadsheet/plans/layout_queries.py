@@ -220,10 +220,14 @@ def a16_fill_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.fill_ratio(members(spark, sf_dir)).withColumn("fill", F.round("fill", 6))
 
 
-@query(f"""{MEMBERS}, g AS (SELECT page_id, article_id, count(*) FILTER (cls = 'title') AS n_titles, count(*) FILTER (cls = 'plain text') AS n_paragraphs, coalesce(sum(length(text)) FILTER (cls = 'plain text'), 0)::BIGINT AS n_chars, count(*) AS n_blocks, bool_or(cls = 'figure') AS has_image FROM members GROUP BY ALL)
-SELECT *, n_titles <= 4 AND n_paragraphs >= 3 AND n_chars >= 60 AND n_blocks <= 24 AS is_story FROM g""")
+STORY = f"""{MEMBERS}, g AS (SELECT page_id, article_id, count(*) FILTER (cls = 'title') AS n_titles, count(*) FILTER (cls = 'plain text') AS n_paragraphs, coalesce(sum(length(text)) FILTER (cls = 'plain text'), 0)::BIGINT AS n_chars, count(*) AS n_blocks, bool_or(cls = 'figure') AS has_image,
+  (max(x2) - min(x1))::BIGINT * (max(y2) - min(y1)) AS area FROM members GROUP BY ALL)"""
+
+
+@query(f"{STORY} SELECT *, n_titles <= 4 AND n_paragraphs >= 3 AND n_chars >= 60 AND n_chars >= 15 * n_paragraphs AND n_blocks <= 24 AND 100 * area >= {PAGE_WIDTH * PAGE_HEIGHT} AS is_story FROM g")
 def a17_story_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.story_shape(members(spark, sf_dir))
+    """Texts here are a tenth as long as a newspaper's, and so are the limits on them."""
+    return L.story_shape(members(spark, sf_dir), PAGE_WIDTH * PAGE_HEIGHT, least_chars=60, least_mean=15)
 
 
 @query(f"""{MEMBERS} SELECT page_id, article_id, coalesce(array_to_string(list_sort(list(block_id) FILTER (cls = 'title')), ','), '') AS headline_ids, coalesce(array_to_string(list_sort(list(block_id) FILTER (cls = 'plain text')), ','), '') AS body_ids,
