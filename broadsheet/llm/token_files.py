@@ -11,6 +11,7 @@ Null texts count as empty; each document gets its end id. Rows of equal doc_id c
 from __future__ import annotations
 
 import functools
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -253,8 +254,8 @@ def write(docs: DataFrame, path: str, end_id: int = 0) -> tuple[DataFrame, DataF
     return blocks, codebook
 
 
-def read(blocks: DataFrame, codebook: DataFrame) -> DataFrame:
-    """doc_id, start, ids (little-endian uint32) of every document in the files."""
+def _decoded(blocks: DataFrame, codebook: DataFrame, kind: pa.DataType, of_slice, schema: str) -> DataFrame:
+    """doc_id, start, n_tokens, and of_slice(ids as little-endian uint32) of every document in the files."""
     lengths = np.frombuffer(bytes(codebook.first()["lengths"]), np.uint8)  # one row, bounded by the vocabulary
 
     def run(batches):
@@ -264,13 +265,17 @@ def read(blocks: DataFrame, codebook: DataFrame) -> DataFrame:
                 sizes = np.array(r["sizes"], np.int64)
                 ids = unpack(r["payload"], r["marks"], int(sizes.sum()), table).astype("<u4")
                 ends = np.cumsum(sizes)
-                parts = [ids[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(r["doc_ids"], pa.int64()), "start": r["start"] + ends - sizes, "ids": pa.array(parts, pa.binary())})
+                found = [of_slice(ids[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(r["start"] + ends - sizes), pa.array(sizes), pa.array(found, kind)], ["doc_id", "start", "n_tokens", "found"])
+
+    return blocks.mapInArrow(run, f"doc_id long, start long, n_tokens long, found {schema}")
 
-    return blocks.mapInArrow(run, "doc_id long, start long, ids binary")
+
+def read(blocks: DataFrame, codebook: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids (little-endian uint32) of every document in the files."""
+    return _decoded(blocks, codebook, pa.binary(), lambda ids: ids.tobytes(), "binary").withColumnRenamed("found", "ids")
 
 
 def digest(blocks: DataFrame, codebook: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the files."""
-    ids = read(blocks, codebook)
-    return ids.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    """doc_id, start, n_tokens, ids_crc32 of every document in the files; the ids stay where they are decoded."""
+    return _decoded(blocks, codebook, pa.int64(), zlib.crc32, "long").withColumnRenamed("found", "ids_crc32")
