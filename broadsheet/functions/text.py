@@ -17,9 +17,13 @@ def text_of(c: Column | str) -> Column:
     return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
 
 
+#: All characters that count as white space.
+WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def strip(c: Column | str) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text_of(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(text_of(c), F.lit(WHITE))
 
 
 def words(c: Column | str) -> Column:
