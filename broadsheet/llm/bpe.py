@@ -29,7 +29,7 @@ from tokenizers import pre_tokenizers
 #: Pieces longer than this many characters are not memoised but run through the transducer byte by byte.
 LONG_PIECE = 256
 #: Entries that a worker's memo holds at most.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 450_000
 
 
 def byte_alphabet() -> list[str]:
