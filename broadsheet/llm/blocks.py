@@ -8,6 +8,7 @@ by a block, or by a hash range, whose number grows with that of the blocks.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -156,6 +157,8 @@ def pack(docs: DataFrame, whole: bool = False, block_bytes: int = BLOCK_BYTES) -
             held.append(b.slice(first))
         if any(h.num_rows for h in held):
             yield block()
+        held = []
+        give_back()
 
     blocks = materialise(rows.mapInArrow(run, PACKED), "blocks")
     spark, n = docs.sparkSession, max(1, min(blocks.count(), 100_000))
@@ -215,6 +218,14 @@ def places(keys: np.ndarray) -> tuple[int, np.ndarray]:
     return (int(at.max()) + 1 if len(keys) else 0), at
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def ranges(packed: DataFrame) -> int:
     """Bits of a hash that name its range: two or more ranges for each block."""
     return max(4, min(20, (2 * packed.count()).bit_length()))
@@ -261,6 +272,7 @@ def ask(packed: DataFrame, tell: Callable[[dict], tuple[np.ndarray, np.ndarray,
                     m = Marks(*(x[order] for x in (marks.number, marks.first, marks.second, marks.id)))
                     rows += [{"block": r["block"], "kind": "own", "bucket": i, "keys": m.first[a:z].tobytes(), "second": m.second[a:z].tobytes(), "number": m.number[a:z].astype("<i8").tobytes(), "id": m.id[a:z].astype("<i8").tobytes()} for i, a, z in spans(m.first, bits)]
                 yield pa.RecordBatch.from_pylist(rows, MESSAGE)
+        give_back()
 
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -324,7 +336,9 @@ def visit(packed: DataFrame, answers: DataFrame, use: Callable[[dict, list[dict]
 
     def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
         found = replies.to_pylist()
-        return pa.concat_tables([use(r, found) for r in blocks.to_pylist()] or [empty])
+        out = pa.concat_tables([use(r, found) for r in blocks.to_pylist()] or [empty])
+        give_back()
+        return out
 
     empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
