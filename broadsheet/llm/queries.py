@@ -57,7 +57,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     (docs,) = tables(spark, sf_dir, "documents")
-    return line_dedup.measure_lines(docs)
+    return line_dedup.measure_lines(docs, least=1)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,10 @@ class Threshold:
         """Least size of a set similar to one of the given size."""
         return -(-self.num * size // self.den)
 
+    def smallest(self) -> int:
+        """Least size of a set that is similar to a set unequal to it: one with a single element more is the most similar."""
+        return -(-self.num // (self.den - self.num)) if self.den > self.num else 1 << 31
+
     def similar(self, shared: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return (self.num + self.den) * shared >= self.num * sizes
 
@@ -100,9 +104,9 @@ def bitmaps(sets: Sets, words: int = 2) -> np.ndarray:
 Reader = Callable[[dict], Sets]
 
 
-def postings(packed: DataFrame, answers: DataFrame, read: Reader, threshold: Threshold) -> DataFrame:
+def postings(packed: DataFrame, answers: DataFrame, read: Reader, threshold: Threshold, smallest: int = 1) -> DataFrame:
     """Rows (bucket, and packed arrays element, record, size, position, bitmap) of the prefix elements that other records have; only
-    records that own their sets are posted."""
+    records that own their sets, and have `smallest` elements, are posted."""
     bits = ranges(packed)
 
     def use(block: dict, found: list[dict]) -> pa.Table:
@@ -112,7 +116,7 @@ def postings(packed: DataFrame, answers: DataFrame, read: Reader, threshold: Thr
         own = spread(found, int(sets.number.max(initial=-1)) + 1, "own")[sets.number] > 0
         owner, place, order = by_rarity(sets, at, total)
         n = sets.sizes
-        pick = (place < (n - threshold.least(n) + 1)[owner]) & (total[at[order]] > 1) & own[owner]
+        pick = (place < (n - threshold.least(n) + 1)[owner]) & (total[at[order]] > 1) & (own & (n >= smallest))[owner]
         who, element, place = owner[pick], sets.elements[order[pick]], place[pick]
         order = np.argsort(element)
         who, element, place = who[order], element[order], place[order]

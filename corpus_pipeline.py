@@ -15,7 +15,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_similarity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: lines like an earlier one go."""
-    return line_dedup.dedup_lines(docs)
+    return line_dedup.dedup_lines(docs, least=1)
 
 
 def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
