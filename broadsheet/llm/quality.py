@@ -6,8 +6,9 @@ concentration steps: distances from the current centre and scatter, then a new c
 Each step is one aggregation by (lang, source, distance bin), whose result gives both the quantile and the sums below it, so no group is ever
 collected. Rows beyond CUTOFF, a robust Mahalanobis distance, are rejected.
 
-Null texts have no words and fail the base rules. Null lang and source are groups of their own. Groups of fewer than LEAST_ROWS rows
-that pass the base rules give no estimate: their rows are kept. Repeated rows count as often as they occur. Other columns don't matter.
+Null texts have no words and fail the base rules. Null lang and source are groups of their own. Groups of fewer than LEAST_ROWS rows that
+pass the base rules are judged by the estimate of all such rows of their language, however few these are. Repeated rows count as often as they
+occur. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -171,12 +172,20 @@ def estimates(x: DataFrame) -> DataFrame:
     return found
 
 
+def references(x: DataFrame) -> DataFrame:
+    """What each (lang, source) is judged by: its own estimate, or that of all rows of its language if it has fewer than LEAST_ROWS rows."""
+    own = estimates(x)
+    pooled = estimates(x.withColumn("source", F.lit(None).cast("string"))).drop("source", "rows").withColumnRenamed("lang", "of_lang")
+    small = own.filter(F.col("rows") < LEAST_ROWS).select("lang", "source", "rows").join(F.broadcast(pooled), F.col("lang").eqNullSafe(F.col("of_lang")))
+    return materialise(own.filter(F.col("rows") >= LEAST_ROWS).unionByName(small.select(*own.columns)), "mcd")
+
+
 def _judged(stats: DataFrame, found: DataFrame) -> DataFrame:
-    """stats with distance (null where the base rules or a small group decide) and kept."""
+    """stats with distance (null where the base rules decide) and kept."""
     p = len(features())
     base = F.col("base_failed")
     x = stats.withColumns({name: F.when(~base, F.round(value * SCALE).cast("long")) for name, value, _ in features()})
-    out = _with(x, found).withColumn("distance", F.when(~base & (F.col("rows") >= LEAST_ROWS), F.sqrt(_distance(p))))
+    out = _with(x, found).withColumn("distance", F.when(~base, F.sqrt(_distance(p))))
     # One sum, not two conditions: Spark would push the first below the join and work the statistics out for it once more.
     score = F.coalesce("distance", F.lit(0.0)) + F.when(base, 2 * CUTOFF).otherwise(0.0)
     return out.select(*stats.columns, "distance", (score <= CUTOFF).alias("kept"))
@@ -185,10 +194,10 @@ def _judged(stats: DataFrame, found: DataFrame) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """The statistics of each document, its robust distance, and whether it is kept."""
     stats = materialise(statistics(docs), "quality")
-    return _judged(stats, estimates(vectors(stats)))
+    return _judged(stats, references(vectors(stats)))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, all columns as they were. Texts stay where they are: the last pass works their statistics out again."""
-    found = estimates(vectors(materialise(statistics(docs), "quality")))
+    found = references(vectors(materialise(statistics(docs), "quality")))
     return _judged(statistics(docs, whole=True), found).filter("kept").select("row.*")
