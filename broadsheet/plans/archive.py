@@ -1,4 +1,4 @@
-"""From layout blocks to an archive of articles: the whole deterministic path as one plan per table."""
+"""From layout blocks to an archive of articles, as one plan per table: cleaning, grouping, boundaries and extraction, without K12's later steps."""
 
 from __future__ import annotations
 
@@ -38,7 +38,10 @@ def extract(members: DataFrame) -> DataFrame:
 
 
 def build(blocks: DataFrame, page_width: int = PAGE_WIDTH, page_height: int = PAGE_HEIGHT) -> Archive:
-    """Clean, group, split, bound and extract all pages."""
+    """U07, U08 in part: clean, group, bound and extract all pages.
+
+    K12 is not covered: no orphans are reassigned, no headlines moved, no articles split or recovered, no side boxes absorbed.
+    """
     clean = layout.clean(blocks, page_width, page_height).filter(~F.col("is_global")).select(*blocks.columns)
     grouped = grouping.group_articles(clean)
     members = materialise(grouped.join(clean, ["page_id", "block_id"]), "members")

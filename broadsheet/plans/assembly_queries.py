@@ -226,6 +226,6 @@ def j16_heading_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def u08_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole path: blocks in, article records out."""
+    """Blocks in, article records out, by cleaning, grouping and extraction only: K12 is not covered."""
     a = archive.build(blocks(spark, sf_dir)).articles
     return a.select("page_id", "article_id", "headline", "content_type", "sentiment", "has_images", "image_count", F.col("continuation.is_continued").alias("is_continued"), F.length("article_text").alias("n_chars"))
