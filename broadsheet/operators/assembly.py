@@ -289,9 +289,9 @@ def logical_of_part(parts: DataFrame, page: int, article_id: str) -> DataFrame:
 
 def sections_to_articles(sections: DataFrame, articles: DataFrame, least: float = 0.20) -> DataFrame:
     """document_id, section_id, article_id: the article within a page whose words a section shares most of (over the smaller set)."""
-    s = sections.select("document_id", "section_id", F.col("page").alias("s_page"), F.array_distinct(T.match_tokens("text")).alias("s_words"))
+    s = sections.select("document_id", "section_id", F.explode(F.sequence(F.col("page") - 1, F.col("page") + 1)).alias("page"), F.array_distinct(T.match_tokens("text")).alias("s_words"))
     a = articles.select("document_id", "article_id", "page", F.array_distinct(T.match_tokens("text")).alias("a_words"))
-    found = s.join(a, (s["document_id"] == a["document_id"]) & F.col("page").between(F.col("s_page") - 1, F.col("s_page") + 1)).select(s["document_id"], "section_id", "article_id", T.min_share(F.col("s_words"), F.col("a_words")).alias("score"))
+    found = s.join(a, ["document_id", "page"]).select("document_id", "section_id", "article_id", T.min_share(F.col("s_words"), F.col("a_words")).alias("score"))
     best = found.filter(F.col("score") >= least).groupBy("document_id", "section_id").agg(F.max_by("article_id", F.struct("score", -F.col("article_id"))).alias("article_id"), F.max("score").alias("score"))
     return best
 

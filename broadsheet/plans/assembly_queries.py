@@ -213,9 +213,9 @@ def g09_without_chrome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def j15_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beginnings of articles as sections, to articles of the page before, their own and the next."""
+    """Whole articles as sections, to articles of the page before, their own and the next."""
     d = tables(spark, sf_dir, "documents")[0].select((F.col("doc_id") % 40).alias("document_id"), F.floor(F.col("doc_id") / 40).alias("page"), F.col("doc_id"), "text")
-    return S.sections_to_articles(d.select("document_id", "page", F.col("doc_id").alias("section_id"), F.left(T.text_of("text"), F.lit(300)).alias("text")), d.withColumnRenamed("doc_id", "article_id"))
+    return S.sections_to_articles(d.select("document_id", "page", F.col("doc_id").alias("section_id"), T.text_of("text").alias("text")), d.withColumnRenamed("doc_id", "article_id"))
 
 
 @query()
