@@ -9,6 +9,7 @@ by a block, or by a hash range, whose number grows with that of the blocks.
 from __future__ import annotations
 
 import ctypes
+import sys
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -26,6 +28,10 @@ from pyspark.sql.types import StructType
 from broadsheet.storage import discard, materialise, new_path
 
 BLOCK_BYTES = 8 << 20
+#: What a text counts in a block besides its bytes.
+ROW_BYTES = 16
+#: Bits for a record's number within its block (a string has fewer than 2^31 bytes, so fewer lines), for a block's within its task, and for the task's.
+RECORD_BITS, PLACE_BITS, TASK_BITS = 31, 12, 20
 PACKED = "block long, ids binary, sizes binary, texts binary, rows binary"
 BLOCK = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("ids", "sizes", "texts", "rows"))])
 #: Stands for a null doc_id, before all others.
@@ -41,29 +47,28 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _SOLID = np.ones(256, bool)
 _SOLID[[0x20, *range(0x09, 0x0E)]] = False
-#: A word's hash is the sum of a random number for each byte and its place in the word; these are the numbers of the first places.
+#: Words of more bytes than this are hashed one by one.
 _PLACES = 64
-_NUMBERS = mix(np.arange(_PLACES << 8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x13198A2E03707344))
-HASH_BYTES = 1 << 18
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+HASH_BYTES = 1 << 16
 
 
 def _hash_buffer(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words of a buffer."""
-    a = np.frombuffer(data, np.uint8)
-    solid = _SOLID[a]
-    edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+    """Starts and hashes of the words of a buffer: eight bytes of all words at a time."""
+    padded = b" " + data + b" " * 8
+    solid = _SOLID[np.frombuffer(padded, np.uint8)]
+    edge = np.flatnonzero(solid[1:] != solid[:-1])
     start, size = edge[::2], edge[1::2] - edge[::2]
-    if not len(start):
-        return start, np.empty(0, np.uint64)
-    first = np.cumsum(size) - size
-    key = np.arange(first[-1] + size[-1]) - np.repeat(first, size)
-    key <<= 8
-    key += a[solid]
-    value = _NUMBERS[np.minimum(key, (_PLACES << 8) - 1)]
-    if size.max() > _PLACES:
-        far = np.flatnonzero(key >= _PLACES << 8)
-        value[far] = mix(key[far].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x13198A2E03707344))
-    return start, mix(np.add.reduceat(value, first) + size.astype(np.uint64))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    value = mix((eight[start + 1] & _MASKS[np.minimum(size, 8)]) ^ mix(size.astype(np.uint64) + np.uint64(0x13198A2E03707344)))
+    far, at = np.flatnonzero(size > 8), 8
+    while len(far) and at < _PLACES:
+        value[far] = follow(value[far], eight[start[far] + 1 + at] & _MASKS[np.minimum(size[far] - at, 8)])
+        at += 8
+        far = far[size[far] > at]
+    for k in far.tolist():
+        value[k] = xxhash.xxh3_64_intdigest(data[start[k] : start[k] + size[k]])
+    return start, value
 
 
 def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,37 +123,44 @@ def unsqueeze(data: bytes) -> np.ndarray:
 
 
 def shrink(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    """Numbers as byte planes, compressed; a first byte says how many planes there are."""
+    width = 4 if not len(x) or int(x.max()) < 1 << 32 else 8
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
 
 
 def stretch(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+    width = data[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(data)[1:]), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(-1)
 
 
 def pack(docs: DataFrame, whole: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents into blocks, a table bucketed by block: later visits don't move the texts again.
 
     A null doc_id counts as NO_ID, a null text as empty; whole: the rows come along, for ``rows_again``. A text larger than a block is a block
-    of its own. Block numbers leave RECORD_BITS bits for the records of a block.
+    of its own; every text counts ROW_BYTES besides its own, so that blocks of empty texts end, too. Block numbers leave RECORD_BITS bits for the records
+    of a block, as many as the longest string has lines. The table is not left in the catalog, its files in the shared folder go with the session.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").cast("binary").alias("text"), *([F.struct(*(docs[c] for c in docs.columns)).alias("row")] if whole else []))
 
     def run(batches):
+        give_back()
         task, k, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def block():
+            if task >> TASK_BITS or k >> PLACE_BITS:
+                raise OverflowError(f"block {k} of task {task} has no number: more, smaller tasks or larger blocks are needed")
             t = pa.Table.from_batches(held)
             text = pa.concat_arrays([*t["text"].chunks, pa.array([], t["text"].type)])
             sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype("<i8")
             squash = zstandard.ZstdCompressor(level=3).compress
-            packed = {"block": task << 16 | k, "ids": t["id"].to_numpy().astype("<i8").tobytes(), "sizes": sizes.tobytes(), "texts": squash(_joined(text)), "rows": squash(_stream(t["row"])) if whole else None}
+            packed = {"block": task << PLACE_BITS | k, "ids": t["id"].to_numpy().astype("<i8").tobytes(), "sizes": sizes.tobytes(), "texts": squash(_joined(text)), "rows": squash(_stream(t["row"])) if whole else None}
             return pa.RecordBatch.from_pylist([packed], BLOCK)
 
         for b in batches:
             sizes = pc.fill_null(pc.binary_length(b["text"]), 0).to_numpy(zero_copy_only=False)
             first = 0
-            for at, n in enumerate(sizes.tolist()):
+            for at, n in enumerate((sizes + ROW_BYTES).tolist()):
                 if size and size + n > block_bytes:
                     held.append(b.slice(first, at - first))
                     yield block()
@@ -165,7 +177,9 @@ def pack(docs: DataFrame, whole: bool = False, block_bytes: int = BLOCK_BYTES) -
     name, path = f"blocks_{uuid.uuid4().hex}", new_path(spark, "blocks")
     blocks.repartition(n, "block").write.format("parquet").bucketBy(n, "block").option("compression", "none").option("path", path).saveAsTable(name)
     discard(blocks)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # of an external table only the entry goes; the plan has its files and buckets by now
+    return table
 
 
 def _joined(text: pa.Array) -> pa.Buffer | bytes:
@@ -202,6 +216,28 @@ def unpack(row: dict) -> tuple[np.ndarray, list[bytes]]:
     return np.frombuffer(row["ids"], "<i8"), [raw[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True)]
 
 
+def ascending(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of 64-bit hashes, and the hashes in it: their high bits are sorted with the places in the low ones, which is
+    much faster than sorting places; if hashes agree in their high bits and come out of order, places are sorted after all."""
+    low = np.uint64(len(keys).bit_length())
+    packed = keys >> low << low | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    order = (packed & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    s = keys[order]
+    if (s[1:] < s[:-1]).any():
+        order = np.argsort(keys, kind="stable")
+        s = keys[order]
+    return order, s
+
+
+def stretches(texts: list[bytes], size: int) -> list[tuple[int, int]]:
+    """First and end of consecutive texts of about so many bytes, so that work on them stays in a small memory."""
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    cuts = np.searchsorted(ends, np.arange(size, int(ends[-1]) + size, size)) + 1 if len(texts) else np.empty(0, np.int64)
+    marks = np.unique(np.concatenate([[0], np.minimum(cuts, len(texts))])).tolist()
+    return list(zip(marks, marks[1:]))
+
+
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ascending distinct keys and their counts."""
     keys = np.sort(keys)
@@ -211,15 +247,18 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def places(keys: np.ndarray) -> tuple[int, np.ndarray]:
     """How many distinct keys there are, and the place of each key among them."""
-    order = np.argsort(keys)
-    s = keys[order]
+    order, s = ascending(keys)
     at = np.empty(len(keys), np.int32)
     at[order] = np.cumsum(np.concatenate([[False], s[1:] != s[:-1]]), dtype=np.int32) if len(keys) else 0
     return (int(at.max()) + 1 if len(keys) else 0), at
 
 
 def give_back() -> None:
-    """Return freed memory to the system: a worker that waits for its next task would keep it."""
+    """Return memory to the system: what is freed, which a worker that waits for its next task would keep, and the memos of operators that ran
+    in this worker before."""
+    for module, memo in (("bpe", "_memo"), ("bpe", "vocabulary"), ("token_files", "library_ids")):
+        if loaded := sys.modules.get(f"{__package__}.{module}"):
+            getattr(loaded, memo).cache_clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     if trim:
@@ -227,8 +266,8 @@ def give_back() -> None:
 
 
 def ranges(packed: DataFrame) -> int:
-    """Bits of a hash that name its range: two or more ranges for each block."""
-    return max(4, min(20, (2 * packed.count()).bit_length()))
+    """Bits of a hash that name its range: one or two ranges for each block."""
+    return max(4, min(20, packed.count().bit_length()))
 
 
 def spans(sorted_keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
@@ -240,8 +279,6 @@ def spans(sorted_keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
 MESSAGE = pa.schema([("block", pa.int64()), ("kind", pa.string()), ("bucket", pa.int32()), ("first", pa.int64()), *((c, pa.binary()) for c in ("keys", "counts", "second", "number", "id"))])
 ANSWER = pa.schema([("block", pa.int64()), ("kind", pa.string()), *((c, pa.binary()) for c in ("at", "value", "owner", "owner_id"))])
 ANSWERS = "block long, kind string, at binary, value binary, owner binary, owner_id binary"
-#: Bits for a record's number within its block.
-RECORD_BITS = 24
 
 
 @dataclass
@@ -286,11 +323,11 @@ def _sums(rows: list[dict], least: int) -> list[dict]:
     if not rows:
         return []
     parts = [unsqueeze(r["keys"]) for r in rows]
-    order = np.argsort(every := np.concatenate(parts))
-    new = np.concatenate([[True], np.diff(every[order]) != 0])
+    order, s = ascending(every := np.concatenate(parts))
+    new = np.concatenate([[True], s[1:] != s[:-1]])
     sums = np.add.reduceat(np.concatenate([stretch(r["counts"]) for r in rows]).astype(np.int64)[order], np.flatnonzero(new))
     total = np.empty(len(every), np.int64)
-    total[order] = np.minimum(sums, 0xFFFFFFFF)[np.cumsum(new) - 1]
+    total[order] = sums[np.cumsum(new) - 1]
     out, end = [], 0
     for r, p in zip(rows, parts, strict=True):
         t, end = total[end : end + len(p)], end + len(p)

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.blocks import NO_ID, RECORD_BITS, Marks, ask, distinct, hash_words, mix, pack, rows_again, shrink, spread, stretch, unpack, visit
-from broadsheet.llm.set_join import Sets, Threshold, components, members, of_groups, postings, units, verify
+from broadsheet.llm.blocks import NO_ID, RECORD_BITS, Marks, ask, distinct, hash_words, mix, pack, ranges, rows_again, shrink, spread, stretch, unpack, visit
+from broadsheet.llm.set_join import Sets, Threshold, components, members, of_groups, postings, sets_of, units, verify
 from broadsheet.storage import materialise
 
 LEAST_WORDS = 3
@@ -37,9 +37,11 @@ def lines(texts: list[bytes], least: int = LEAST_WORDS) -> tuple[list[bytes], np
 
 
 def _sets(found: list[bytes]) -> Sets:
-    words, n = hash_words(found)
-    ends, elements = of_groups(np.repeat(np.arange(len(n)), n), words, len(n))
-    return Sets(np.arange(len(n)), ends, elements)
+    def make(some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        words, n = hash_words(some)
+        return of_groups(np.repeat(np.arange(len(n)), n), words, len(n))
+
+    return Sets(np.arange(len(found)), *sets_of(found, make))
 
 
 def _pick(sets: Sets, keep: np.ndarray) -> Sets:
@@ -80,8 +82,9 @@ def _later(rows: dict, left: np.ndarray, right: np.ndarray) -> pa.Table:
 def _removed(packed: DataFrame, threshold: Threshold, least: int) -> DataFrame:
     """block, kind, at, value (of all lines with enough words, 1 where it owns its set), record (an owner that goes all the same)."""
     answers = materialise(ask(packed, lambda block: _tell(block, least), least=2), "answers")
-    posted = postings(packed, answers, lambda block: _all(block, least)[1], threshold, threshold.smallest())
-    found = components(posted, threshold)
+    bits = ranges(packed)
+    posted = postings(packed, answers, lambda block: _all(block, least)[1], threshold, bits, threshold.smallest())
+    found = components(posted, bits, threshold)
     dealt = units(members(packed, found, lambda block, numbers: _describe(block, numbers, least), ", id long"), found)
     gone = verify(dealt, threshold, lambda rows, a, b: (a, b), _later, "record long").distinct()
     own = answers.filter("kind = 'own'").select("block", "kind", "at", "value", F.lit(None).cast("long").alias("record"))

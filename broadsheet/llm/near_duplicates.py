@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.blocks import NO_ID, RECORD_BITS, Marks, ask, distinct, follow, hash_words, mix, pack, rows_again, unpack, unsqueeze, visit
-from broadsheet.llm.set_join import Sets, Threshold, components, forest, members, of_groups, postings, units, verify
+from broadsheet.llm.blocks import NO_ID, RECORD_BITS, Marks, ask, distinct, follow, hash_words, mix, pack, ranges, rows_again, unpack, unsqueeze, visit
+from broadsheet.llm.set_join import Sets, Threshold, components, forest, members, of_groups, postings, sets_of, units, verify
 from broadsheet.operators.graph import connected_components
 from broadsheet.storage import materialise
 
@@ -34,6 +34,10 @@ _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4
 
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ends and distinct shingle hashes of each text."""
+    return sets_of(texts, _shingles)
+
+
+def _shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     words, n = hash_words(texts)
     place = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
     owner = np.repeat(np.arange(len(n)), n)
@@ -128,8 +132,9 @@ def _owners_of(batches):
 def _grouped(packed: DataFrame, threshold: Threshold) -> DataFrame:
     """record, owner (record that leads the class), class_id, n_links, group_id, leader (record that leads the group)."""
     answers = materialise(ask(packed, _tell, least=2), "answers")
-    posted = postings(packed, answers, lambda block: _all(block)[2], threshold)
-    found = components(posted, threshold, CHAIN_ABOVE)
+    bits = ranges(packed)
+    posted = postings(packed, answers, lambda block: _all(block)[2], threshold, bits)
+    found = components(posted, bits, threshold, CHAIN_ABOVE)
     records = members(packed, found, _describe, ", signature binary")
     verified = materialise(verify(units(records, found), threshold, _plausible, _digest, "record long, n_links long, root long"), "links")
     links = verified.groupBy("record").agg(F.sum("n_links").alias("n_links"))

@@ -3,6 +3,7 @@
 1. ``ask`` tells in how many records of the corpus each element occurs. Elements go by rarity (then by hash); two sets as similar as asked for
    share one of the first few, so only these are posted, and of them only those that some other record has.
 2. Postings meet by hash range. Pairs that the length, positional and bitmap filters leave link their records; a range returns a forest of links, not pairs.
+   An element of more than HOT postings is cut into parts, and each pair of parts is a task's unit; beyond SALT_ABOVE its postings are in several ranges.
 3. Records of a connected component are verified against each other in units of bounded size: a component beyond CELL records is dealt into cells,
    and each pair of cells is a unit. Every pair of similar records lies in exactly one unit.
 """
@@ -15,18 +16,25 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from broadsheet.llm.blocks import RECORD_BITS, mix, places, ranges, spans, spread, visit
+from broadsheet.llm.blocks import RECORD_BITS, ascending, mix, places, spread, stretches, visit
 from broadsheet.operators.graph import connected_components
 from broadsheet.storage import materialise
 
 CELL = 256
+#: Postings of one element that one task pairs; of an element with more, each pair of so many is a unit.
+HOT = 1 << 14
+#: An element that more records have than this is posted to several ranges, by block, so that no task holds all its postings.
+SALT_ABOVE = 1 << 22
 #: Units of one record or more that one task verifies together.
 BIN_RECORDS = 2048
-PAIRS_AT_ONCE = 1 << 21
+PAIRS_AT_ONCE, LINKS_AT_ONCE = 1 << 16, 1 << 20
+#: Postings of an element from which on they are paired row by row.
+MANY = 128
 
 
 @dataclass
@@ -68,13 +76,27 @@ class Threshold:
 def of_groups(owner: np.ndarray, elements: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Ends and distinct elements of n sets; owners ascend."""
     pair = mix(elements ^ mix(owner.astype(np.uint64) + np.uint64(0x452821E638D01377)))
-    order = np.argsort(pair)
-    s = pair[order]
+    order, s = ascending(pair)
     keep = np.ones(len(owner), bool)
     keep[order[1:][s[1:] == s[:-1]]] = False
     return np.cumsum(np.bincount(owner[keep], minlength=n)), elements[keep]
 
 
+#: Bytes of texts that are hashed and made distinct at a time.
+PART_BYTES = 1 << 19
+
+
+def sets_of(texts: list[bytes], make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ends and distinct elements of the sets of all texts; make gives those of a stretch of them."""
+    ends, elements, n = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+    for a, z in stretches(texts, PART_BYTES):
+        e, x = make(texts[a:z])
+        ends.append(e + n)
+        elements.append(x)
+        n += len(x)
+    return np.concatenate(ends), np.concatenate(elements)
+
+
 def by_rarity(sets: Sets, at: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Owner, position, and index of every element, each set in order of its elements' totals, then of their hashes.
 
@@ -104,10 +126,10 @@ def bitmaps(sets: Sets, words: int = 2) -> np.ndarray:
 Reader = Callable[[dict], Sets]
 
 
-def postings(packed: DataFrame, answers: DataFrame, read: Reader, threshold: Threshold, smallest: int = 1) -> DataFrame:
+def postings(packed: DataFrame, answers: DataFrame, read: Reader, threshold: Threshold, bits: int, smallest: int = 1) -> DataFrame:
     """Rows (bucket, and packed arrays element, record, size, position, bitmap) of the prefix elements that other records have; only
-    records that own their sets, and have `smallest` elements, are posted."""
-    bits = ranges(packed)
+    records that own their sets, and have `smallest` elements, are posted. The low bits of a bucket name the hash range, the others the salt of an element
+    that very many records have."""
 
     def use(block: dict, found: list[dict]) -> pa.Table:
         sets = read(block)
@@ -117,21 +139,24 @@ def postings(packed: DataFrame, answers: DataFrame, read: Reader, threshold: Thr
         owner, place, order = by_rarity(sets, at, total)
         n = sets.sizes
         pick = (place < (n - threshold.least(n) + 1)[owner]) & (total[at[order]] > 1) & (own & (n >= smallest))[owner]
-        who, element, place = owner[pick], sets.elements[order[pick]], place[pick]
-        order = np.argsort(element)
-        who, element, place = who[order], element[order], place[order]
+        who, element, place, salts = owner[pick], sets.elements[order[pick]], place[pick], total[at[order[pick]]] // SALT_ABOVE
+        salt = np.where(salts > 0, 1 + np.int64(mix(np.array([block["block"]], np.uint64))[0] >> np.uint64(1)) % np.maximum(salts, 1), 0)
+        bucket = salt << bits | (element >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(bucket)
+        who, element, place, bucket = who[order], element[order], place[order], bucket[order]
         maps = bitmaps(sets)
         out = []
-        for bucket, a, z in spans(element, bits):
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        for a, z in zip([0, *cuts], [*cuts, len(bucket)]) if len(bucket) else ():
             w = who[a:z]
             record = block["block"] << RECORD_BITS | sets.number[w]
-            out.append({"bucket": bucket, "element": element[a:z].tobytes(), "record": record.astype("<i8").tobytes(), "size": n[w].astype("<i4").tobytes(), "place": place[a:z].astype("<i4").tobytes(), "bitmap": maps[w].tobytes()})
+            out.append({"bucket": int(bucket[a]), "element": element[a:z].tobytes(), "record": record.astype("<i8").tobytes(), "size": n[w].astype("<i4").tobytes(), "place": place[a:z].astype("<i4").tobytes(), "bitmap": maps[w].tobytes()})
         return pa.Table.from_pylist(out, POSTED)
 
-    return visit(packed, answers, use, "bucket int, element binary, record binary, size binary, place binary, bitmap binary")
+    return visit(packed, answers, use, "bucket long, element binary, record binary, size binary, place binary, bitmap binary")
 
 
-POSTED = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("element", "record", "size", "place", "bitmap"))])
+POSTED = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("element", "record", "size", "place", "bitmap"))])
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -147,28 +172,60 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def link(table: pa.Table, threshold: Threshold, chain_above: int | None) -> pa.Table:
-    """Links (a, b) that connect the records of all pairs which pass the filters in one hash range."""
-    column = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[name]])
-    element, record, size, place = column("element", "<u8"), column("record", "<i8"), column("size", "<i4").astype(np.int64), column("place", "<i4").astype(np.int64)
-    bitmap = column("bitmap", "<u8").reshape(len(element), -1)
-    order = np.argsort(places(element)[1].astype(np.int64) << 32 | size)
-    element, record, size, place, bitmap = element[order], record[order], size[order], place[order], bitmap[order]
+def _rows(size: np.ndarray, left: np.ndarray, first: np.ndarray, bitmap: np.ndarray, threshold: Threshold, join: Callable[[np.ndarray, np.ndarray], None]) -> None:
+    """The pairs of one element that pass the filters: each posting against all before it, which lie side by side."""
+    planes, of_size, found, n = [np.ascontiguousarray(x) for x in bitmap.T], -1, [], 0
+    for j in range(len(size)):
+        if size[j] != of_size:  # postings go by size
+            of_size = size[j]
+            need = threshold.shared(size + of_size)
+            enough, slack = left >= need, size + of_size - 2 * need
+        i0 = int(first[j])
+        keep = enough[i0:j] & (need[i0:j] <= left[j])
+        differ = np.zeros(j - i0, np.uint8)
+        for x in planes:
+            differ += np.bitwise_count(x[i0:j] ^ x[j])
+        i = np.flatnonzero(keep & (differ <= slack[i0:j])) + i0
+        if len(i):
+            found.append((i, np.full(len(i), j)))
+            n += len(i)
+        if n > LINKS_AT_ONCE or j == len(size) - 1 and n:
+            join(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            found, n = [], 0
+
+
+def _links(key: np.ndarray, record: np.ndarray, size: np.ndarray, place: np.ndarray, bitmap: np.ndarray, threshold: Threshold, chain_above: int | None, side: np.ndarray | None = None) -> pa.Table:
+    """Links (a, b) that connect the records of all pairs which have an element in common and pass the filters. key: the elements, as small numbers;
+    side: only pairs of different sides count. An element of more than chain_above postings links neighbours by size instead of pairs."""
+    order = np.argsort(key << 32 | size)
+    key, record, size, place, bitmap = key[order], record[order], size[order], place[order], bitmap[order]
+    side = side if side is None else side[order]
     nodes, node = np.unique(record, return_inverse=True)
     label = np.arange(len(nodes))
-    new = np.concatenate([[True], element[1:] != element[:-1]])
+    new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
     group = np.cumsum(new) - 1
     count = np.bincount(group)
     # Ordered by size within an element, the partners before a posting begin at the first that is long enough.
-    key = group * (1 << 32) + size
-    first = np.searchsorted(key, group * (1 << 32) + threshold.least(size))
-    here = np.arange(len(element))
-    long = np.zeros(len(element), bool) if chain_above is None else (count > chain_above)[group]
+    by_size = group * (1 << 32) + size
+    first = np.searchsorted(by_size, group * (1 << 32) + threshold.least(size))
+    here = np.arange(len(key))
+    long = np.zeros(len(key), bool) if chain_above is None else (count > chain_above)[group]
     chained = np.flatnonzero(long & (first < here))
     label = forest(np.concatenate([node[chained], here[:0]]), node[chained - 1], len(nodes))
-    todo = np.where(long, 0, here - first)
+
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal label
+        keep = label[node[i]] != label[node[j]]
+        if side is not None:
+            keep &= side[i] != side[j]
+        if keep.any():
+            label = forest(np.concatenate([node[i[keep]], np.arange(len(nodes))]), np.concatenate([node[j[keep]], label]), len(nodes))
+
+    left = size - place
+    many = (count >= MANY)[group] & ~long
+    todo = np.where(long | many, 0, here - first)
     upto = np.cumsum(todo)
-    at = 0
+    at, found, passed = 0, [], 0
     while at < len(todo):
         end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
         n = todo[at:end]
@@ -176,19 +233,77 @@ def link(table: pa.Table, threshold: Threshold, chain_above: int | None) -> pa.T
         i = j - 1 - (np.arange(len(j)) - np.repeat(np.cumsum(n) - n, n))
         at = end
         need = threshold.shared(size[i] + size[j])
-        keep = (np.minimum(size[i] - place[i], size[j] - place[j]) >= need) & (label[node[i]] != label[node[j]])
+        keep = np.minimum(left[i], left[j]) >= need
         i, j, need = i[keep], j[keep], need[keep]
         differ = np.bitwise_count(bitmap[i] ^ bitmap[j]).sum(axis=1, dtype=np.int64)
         keep = size[i] + size[j] - differ >= 2 * need
-        if keep.any():
-            label = forest(np.concatenate([node[i[keep]], np.arange(len(nodes))]), np.concatenate([node[j[keep]], label]), len(nodes))
+        found.append((i[keep], j[keep]))
+        passed += len(found[-1][0])
+        if passed > LINKS_AT_ONCE or at == len(todo):
+            join(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            found, passed = [], 0
+    starts = np.flatnonzero(new & many)
+    for a, z in zip(starts.tolist(), (starts + count[group[starts]]).tolist(), strict=True):
+        _rows(size[a:z], left[a:z], first[a:z] - a, bitmap[a:z], threshold, lambda i, j, a=a: join(i + a, j + a))
     linked = np.flatnonzero(label != np.arange(len(nodes)))
     return pa.table({"a": nodes[linked], "b": nodes[label[linked]]})
 
 
-def components(posted: DataFrame, threshold: Threshold, chain_above: int | None = None) -> DataFrame:
+def _arrays(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Records, sizes, places and bitmaps of all rows of postings."""
+    column = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[name]])
+    record = column("record", "<i8")
+    return record, column("size", "<i4").astype(np.int64), column("place", "<i4").astype(np.int64), column("bitmap", "<u8").reshape(len(record), -1)
+
+
+LINKED_ARROW = pa.schema([*((c, pa.int64()) for c in ("a", "b", "element", "bucket")), ("part", pa.int32()), *((c, pa.binary()) for c in ("record", "size", "place", "bitmap"))])
+LINKED = "a long, b long, element long, bucket long, part int, record binary, size binary, place binary, bitmap binary"
+
+
+def link(table: pa.Table, threshold: Threshold, chain_above: int | None, bits: int) -> pa.Table:
+    """Links (a, b) of one hash range. Elements of a salted range, and those of more than HOT postings that are not chained, come out in parts instead."""
+    element = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in table["element"]])
+    record, size, place, bitmap = _arrays(table)
+    bucket, (n, key) = table["bucket"][0].as_py(), places(element)
+    key = key.astype(np.int64)
+    hot = np.full(len(element), bucket >> bits > 0)
+    if chain_above is None:
+        hot |= (np.bincount(key, minlength=n) > HOT)[key]
+    cold = ~hot
+    links = _links(key[cold], record[cold], size[cold], place[cold], bitmap[cold], threshold, chain_above)
+    parts = []
+    if hot.any():
+        chosen = np.flatnonzero(hot)
+        chosen = chosen[np.argsort(key[chosen], kind="stable")]
+        for mine in np.split(chosen, np.flatnonzero(np.diff(key[chosen])) + 1):
+            for at in range(0, len(mine), HOT):
+                k = mine[at : at + HOT]
+                parts.append({"element": int(element[k[0]].astype(np.int64)), "bucket": bucket, "part": at // HOT, "record": record[k].tobytes(), "size": size[k].astype("<i4").tobytes(), "place": place[k].astype("<i4").tobytes(), "bitmap": bitmap[k].tobytes()})
+    return pa.concat_tables([pa.Table.from_pylist(parts, LINKED_ARROW), pa.table({f.name: links[f.name] if f.name in ("a", "b") else pa.nulls(len(links), f.type) for f in LINKED_ARROW}, LINKED_ARROW)])
+
+
+def across(hot: DataFrame, threshold: Threshold, chain_above: int | None) -> DataFrame:
+    """Links (a, b) of elements that many records have: their parts are numbered, and each pair of parts is a unit of its own."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        record, size, place, bitmap = _arrays(table)
+        side = None if len(table) == 1 else np.repeat([0, 1], [len(x.as_py()) // 8 for x in table["record"]])
+        return _links(np.zeros(len(record), np.int64), record, size, place, bitmap, threshold, chain_above, side)
+
+    numbered = hot.select("element", "bucket", "part").withColumn("cell", F.row_number().over(W.partitionBy("element").orderBy("bucket", "part")) - 1)
+    cells = numbered.groupBy("element").agg(F.count(F.lit(1)).cast("int").alias("cells"))
+    dealt = hot.drop("a", "b").join(numbered, ["element", "bucket", "part"]).join(cells, "element").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    units = dealt.withColumn("i", F.least("cell", "other")).withColumn("j", F.greatest("cell", "other"))
+    return units.groupBy("element", "i", "j").applyInArrow(meet, "a long, b long")
+
+
+def components(posted: DataFrame, bits: int, threshold: Threshold, chain_above: int | None = None) -> DataFrame:
     """record, component of every record that some filtered pair names."""
-    links = posted.groupBy("bucket").applyInArrow(lambda t: link(t, threshold, chain_above), "a long, b long")
+    linked = posted.groupBy("bucket").applyInArrow(lambda t: link(t, threshold, chain_above, bits), LINKED)
+    linked = materialise(linked, "linked")
+    links, hot = linked.filter("a IS NOT NULL").select("a", "b"), linked.filter("element IS NOT NULL")
+    if not hot.isEmpty():
+        links = links.unionByName(across(hot, threshold, chain_above))
     found = connected_components(links).select(F.col("node").alias("record"), "component")
     return materialise(found, "components")
 

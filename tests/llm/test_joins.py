@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from broadsheet.llm import blocks, line_dedup, near_duplicates, set_join
@@ -33,6 +34,59 @@ def test_near_duplicates(spark, name, monkeypatch):
     assert got == {i: (*v, i == v[2]) for i, v in want.items()}
 
 
+@pytest.mark.parametrize("name", ["mixed", "copies"])
+def test_hot_elements_in_parts_and_salted_ranges(spark, name, monkeypatch):
+    """Parts of three postings, ranges salted from two records on, several blocks: the same results."""
+    monkeypatch.setattr(set_join, "HOT", 3)
+    monkeypatch.setattr(set_join, "SALT_ABOVE", 2)
+    monkeypatch.setattr(set_join, "MANY", 2)
+    monkeypatch.setattr(blocks.pack, "__defaults__", (False, 800))
+    texts = CASES[name]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(table(spark, texts)).collect()}
+    assert got == dict(enumerate(kept_lines(list(enumerate(texts)))))
+    monkeypatch.setattr(near_duplicates, "CHAIN_ABOVE", 3)
+    got = {r.doc_id: (r.class_id, r.n_links, r.group_id) for r in near_duplicates.near_duplicates(table(spark, texts)).collect()}
+    assert got == brute_near(list(enumerate(texts)))
+
+
+def test_one_hot_element_is_spread_over_units(spark):
+    """An element that 40,000 records have: no unit holds more than two parts of it, and the similar pairs come out."""
+    n, rng = 40_000, np.random.default_rng(3)
+    record = np.arange(n, dtype=np.int64)
+    bitmap = rng.integers(0, 1 << 63, (n, 2), dtype=np.uint64)
+    bitmap[1::1000] = bitmap[::1000]  # 40 pairs that no filter tells apart
+    row = {"bucket": 0, "element": np.full(n, 7, "<u8").tobytes(), "record": record.tobytes(), "size": np.full(n, 10, "<i4").tobytes(), "place": np.zeros(n, "<i4").tobytes(), "bitmap": bitmap.tobytes()}
+    parts = set_join.link(pa.Table.from_pylist([row], set_join.POSTED), set_join.Threshold(), None, 4)
+    assert len(parts) == 3 and parts["a"].null_count == 3 and max(len(x.as_py()) for x in parts["record"]) == set_join.HOT * 8
+    links = set_join.across(spark.createDataFrame(parts), set_join.Threshold(), None).collect()
+    found = {frozenset((r.a, r.b)) for r in links}
+    assert {frozenset((k, k + 1)) for k in range(0, n, 1000)} <= found
+
+
+def test_nothing_stays_in_the_catalog(spark):
+    near_duplicates.near_duplicates(table(spark, CASES["one"])).collect()
+    line_dedup.measure_lines(table(spark, CASES["one"])).collect()
+    assert spark.catalog.listTables() == []
+
+
+def test_record_numbers_end_with_an_error_not_with_the_next_block(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "PLACE_BITS", 1)
+    monkeypatch.setattr(blocks.pack, "__defaults__", (False, 50))
+    with pytest.raises(Exception, match="has no number"):
+        blocks.pack(table(spark, ["x" * 60] * 40).coalesce(1)).count()
+
+
+def test_blocks_of_empty_texts_end(spark, monkeypatch):
+    monkeypatch.setattr(blocks.pack, "__defaults__", (False, 16 * 8))
+    sizes = [len(r["ids"]) // 8 for r in blocks.pack(table(spark, [None] * 40).coalesce(1)).collect()]
+    assert sum(sizes) == 40 and max(sizes) == 8
+
+
+def test_totals_beyond_32_bits():
+    x = np.array([1, 1 << 40, 5], np.int64)
+    assert (blocks.stretch(blocks.shrink(x)).astype(np.int64) == x).all()
+
+
 def test_long_postings_link_alike(spark, monkeypatch):
     texts = CASES["mixed"]
     monkeypatch.setattr(near_duplicates, "CHAIN_ABOVE", 3)
