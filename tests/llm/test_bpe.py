@@ -149,6 +149,62 @@ def test_a_run_that_broke_off_leaves_nothing(spark):
     assert r.apply("b1", row) and [tuple(x) for x in r.totals().collect()] == [("a", "en", "t1", 1, 10)]
 
 
+def test_null_tokenizers_and_sequence(spark):
+    r, columns = token_counts.Rollup(spark), "op string, doc_id long, source string, lang string, tokenizer string, n_tokens long, seq long, sign int, part int"
+    rows = lambda x: spark.createDataFrame([(*c, 9, 9) for c in x], columns)  # noqa: E731  columns with the ledger's own names
+    total = lambda: {(x.source, x.tokenizer): (x.n_docs, x.n_tokens) for x in r.totals().collect()}
+    assert r.apply("1", rows([("insert", 1, "a", "en", None, 10, None)])) and r.apply("2", rows([("insert", 1, "a", "en", None, 10, None)]))
+    assert total() == {("a", None): (1, 10)}
+    assert r.apply("3", rows([("insert", 2, "a", "en", "t", 5, 1), ("revise", 2, "a", "en", "t", 4, 3), ("delete", 2, None, None, "t", None, 2), ("revise", 1, "b", "en", None, 8, 1), ("delete", 1, None, None, None, None, 2)]))
+    assert total() == {("a", "t"): (1, 4)}  # the last change of each document, not the largest
+    for bad in (None, "upsert"):
+        with pytest.raises(Exception, match="no such change"):
+            r.apply("4", rows([("insert", 7, "a", "en", "t", 1, 1), (bad, 2, "a", "en", "t", 1, 1)]))
+    assert r.committed() == ["1", "2", "3"] and total() == {("a", "t"): (1, 4)}
+    assert r.compact() and r.apply("5", rows([("revise", 2, "c", "en", "t", 6, None), ("insert", None, "d", "en", "t", 1, None)])) and r.compact()
+    assert r.apply("6", rows([("delete", 2, None, None, "t", None, None)])) and not r.apply("5", rows([]))
+    assert total() == {("d", "t"): (1, 1)} and r.current().count() == 0
+
+
+def test_random_changes_against_a_dictionary(spark):
+    rng, r, state = random.Random(6), token_counts.Rollup(spark), {}
+    for b in range(4):
+        batch = [(rng.choice(["insert", "delete", "revise"]), rng.randrange(12), rng.choice("ab"), None, rng.choice(["t", None]), rng.randrange(50), k) for k in range(15)]
+        assert r.apply(str(b), spark.createDataFrame(batch, "op string, doc_id long, source string, lang string, tokenizer string, n_tokens long, seq long"))
+        for op, i, source, _, t, n, _ in batch:
+            state.pop((i, t), None) if op == "delete" else state.update({(i, t): (source, n)})
+        want = {}
+        for (_, t), (source, n) in state.items():
+            docs, tokens = want.get((source, t), (0, 0))
+            want[source, t] = (docs + 1, tokens + n)
+        assert {(x.source, x.tokenizer): (x.n_docs, x.n_tokens) for x in r.totals().collect()} == want
+
+
+def test_a_batch_reads_the_parts_of_its_keys(spark):
+    r = token_counts.Rollup(spark)
+    r.apply("1", changes(spark, [("insert", k, "a", "en", "t", 1) for k in range(500)]))
+    keys = spark.createDataFrame([(3, "t")], "doc_id long, tokenizer string")
+    plan = r.current(keys=keys)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan or "part#" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_two_writers_at_once(spark, monkeypatch):
+    """The second writer finds its number taken and starts over from what the first committed."""
+    r, other = token_counts.Rollup(spark), None
+    other = token_counts.Rollup(spark, r.path)
+    write, done = token_counts.Rollup._write, []
+
+    def slow(self, signed, files):
+        out = write(self, signed, files)
+        if self is r and not done:
+            done.append(other.apply("b", changes(spark, [("insert", 1, "b", "en", "t", 5)])))
+        return out
+
+    monkeypatch.setattr(token_counts.Rollup, "_write", slow)
+    assert r.apply("a", changes(spark, [("insert", 1, "a", "en", "t", 3)])) and done == [True]
+    assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "t", 1, 3)]
+
+
 def test_count_tokens(spark, library):
     texts = odd_texts(20)
     got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(table(spark, texts), PATH).collect()}
