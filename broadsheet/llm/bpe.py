@@ -1,10 +1,11 @@
 """Byte-level BPE as a streaming transducer with bounded lookahead, and its inverse.
 
 The merge list fixes how many bytes to the right of a token boundary can still change that boundary
-(``sufficient_lookahead``). The encoder emits each token as soon as that many bytes follow it, so its state stays
-constant in size however long the text is. ``StreamDecoder`` turns ids back into text with an incremental UTF-8 state machine.
+(``sufficient_lookahead``). The encoder emits each token as soon as that many bytes follow it, or its piece is settled, so its state stays
+constant in size however long the text is, and whatever it is made of. ``StreamDecoder`` turns ids back into text with an incremental UTF-8 state machine.
 
-Results: a null text counts as the empty text and gives no ids. Any text, of any length, gives the ids of the tokenizers library.
+Results: a null text counts as the empty text and gives no ids. Any text, of any length, gives the ids of the tokenizers library. Every row gives
+a row, so repeated rows are repeated; null doc_ids stay null; an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -207,13 +208,16 @@ class StreamEncoder:
 
     #: Characters cut off the input at a time.
     PART = 1 << 16
+    #: Pieces that end so many characters before what is known, white space at its end apart, are settled: the longest look at what follows is that of
+    #: an apostrophe at two letters.
+    SETTLED = 3
 
     def __init__(self, path: str):
         self.v, self.memo = vocabulary(path), _memo(path)
         self.held, self.open, self.kind = "", None, None
         self.added = sorted(self.v.added, key=len, reverse=True)
         self.mark = regex.compile("|".join(map(regex.escape, self.added))) if self.added else None
-        self.space, self.solid = regex.compile(r"\s"), regex.compile(r"\S(?=\s)", regex.REVERSE)
+        self.space, self.spaces, self.tail = regex.compile(r"\s*"), regex.compile(r"\s*", regex.REVERSE), ""
         self.kinds = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+")]
 
     def feed(self, text: str) -> bytes:
@@ -244,31 +248,51 @@ class StreamEncoder:
         """Text without added tokens; last: the next character, if any, is not part of the same stretch."""
         out = []
         if self.open is not None:  # inside a piece too long to hold
-            m = self.kind.match(text)
-            out += self.open.feed(m[0].encode()) if m else ()
-            text = text[m.end() :] if m else text
-            if not text and not last:
-                return np.array(out, self.v.dtype).tobytes()
-            out += self.open.finish()
+            text, ids = self._go_on(text, last)
+            out.append(np.array(ids, self.v.dtype).tobytes())
+        if text and self.open is None:
+            pieces = self.v.pieces(text)
+            if not last:
+                space = self.spaces.match(text).start()  # the white space at the end of the text
+                end, cut = len(text), []
+                while pieces and end > min(len(text) - self.SETTLED, space):
+                    cut.append(pieces.pop())
+                    end -= len(cut[-1])
+                self.held = text[end:]
+            out += map(self.memo.__getitem__, pieces)
+            if not last and len(cut[0]) > 4 * LONG_PIECE:
+                out.append(self._start(cut[0], space < len(text)))
+        return b"".join(out)
+
+    def _start(self, body: str, space: bool) -> bytes:
+        """The last piece so far goes to a transducer; of white space the last character waits, which may belong to what follows."""
+        self.open, self.held, self.tail = PieceTransducer(self.v), body[-1:] if space else "", body[-2:]
+        self.kind = "space" if space else next((k for k in self.kinds if k.fullmatch(body.lstrip(" "))), None)
+        return np.fromiter(self.open.feed((body[:-1] if space else body).encode()), self.v.dtype).tobytes()
+
+    def _go_on(self, text: str, last: bool) -> tuple[str, list[int]]:
+        """What the open piece leaves of the text, and its ids that are settled."""
+        if self.kind == "space":
+            run = self.space.match(text).end()
+            whole = run == len(text)
+            n = run if whole and last else run - 1
+            if whole and not last:
+                self.held, rest = text[n:], ""
+            else:
+                rest = text[n:]
+        else:
+            if self.kind is None or self.v.unassigned.search(text):  # the library says how far the piece goes
+                n = len(self.v.pieces(self.tail + text)[0]) - len(self.tail)
+            else:
+                m = self.kind.match(text)
+                n = m.end() if m else 0
+            whole, rest = n == len(text), text[n:]
+            self.tail = (self.tail + text[:n])[-2:]
+        ids = list(self.open.feed(text[:n].encode()))
+        if last or not whole:
+            ids += self.open.finish()
             self.open = self.kind = None
-        packed = [np.array(out, self.v.dtype).tobytes()]
-        if not last:
-            m = self.solid.search(text)
-            cut = m.end() if m else 0  # a piece ends wherever a space follows something solid
-            text, rest = text[:cut], text[cut:]
-            if len(rest) > 4 * LONG_PIECE and not self.space.search(rest, 1) and not self.v.unassigned.search(rest):
-                pieces = self.v.pieces(rest)
-                body = pieces[-1]
-                kind = next((k for k in self.kinds if k.fullmatch(body.lstrip(" "))), None)
-                if kind is not None and len(body) > LONG_PIECE:
-                    self.open, self.kind, rest = PieceTransducer(self.v), kind, ""
-                    packed.append(b"".join(map(self.memo.__getitem__, self.v.pieces(text) + pieces[:-1])))
-                    packed.append(np.fromiter(self.open.feed(body.encode()), self.v.dtype).tobytes())
-                    text = ""
-            self.held = rest
-        if text:
-            packed.append(b"".join(map(self.memo.__getitem__, self.v.pieces(text))))
-        return b"".join(packed)
+        return rest, ids
 
 
 def encode(text: str | None, path: str) -> np.ndarray:

@@ -149,6 +149,39 @@ def test_a_run_that_broke_off_leaves_nothing(spark):
     assert r.apply("b1", row) and [tuple(x) for x in r.totals().collect()] == [("a", "en", "t1", 1, 10)]
 
 
+LONG_TEXTS = {
+    "mixed": "ab1,", "cjk": "日本語、文章。", "space": " ", "tabs": "\t \n", "letters": "abcde", "digits": "1234567", "signs": "!?'", "apostrophes": "'re'", "code": "function(a){return a+1;}", "unassigned": "\u0378a", "free": "\u0378", "base64": "QUJDREVG09+/", "words": "some words, ",
+}
+
+
+@pytest.mark.parametrize("name", LONG_TEXTS)
+def test_state_stays_small_whatever_the_text(library, name):
+    unit = LONG_TEXTS[name]
+    text = "start" + unit * (200_000 // len(unit)) + "x  " + unit * 300 + " "
+    for part in (977, 1 << 16):
+        e, got, most = bpe.StreamEncoder(PATH), [], 0
+        for at in range(0, len(text), part):
+            got.append(e.feed(text[at : at + part]))
+            most = max(most, len(e.held) + (len(e.open.held) if e.open else 0))
+        got.append(e.finish())
+        assert np.frombuffer(b"".join(got), e.v.dtype).tolist() == ids(library, text)
+        assert most <= 4 * bpe.LONG_PIECE + e.v.lookahead + 2 * bpe.PieceTransducer.STEP
+
+
+def test_any_parts_give_the_same_ids(library):
+    rng = random.Random(9)
+    bits = ["'", "r", "e", "'re", "'s", " ", "  ", "\n", "a", "é", "1", "!", "日", "\u0378", "\x1c", "<|endoftext|>", "<|end", " " * 1100, "a" * 1100, "!" * 1100, "\u0378" * 1100, "\n" * 1100]
+    for _ in range(400):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))
+        e, got, at = bpe.StreamEncoder(PATH), [], 0
+        while at < len(text):
+            n = rng.choice([1, 2, 3, 7, 50, 1025, 3000])
+            got.append(e.feed(text[at : at + n]))
+            at += n
+        got.append(e.finish())
+        assert np.frombuffer(b"".join(got), e.v.dtype).tolist() == ids(library, text), repr(text)
+
+
 def test_null_tokenizers_and_sequence(spark):
     r, columns = token_counts.Rollup(spark), "op string, doc_id long, source string, lang string, tokenizer string, n_tokens long, seq long, sign int, part int"
     rows = lambda x: spark.createDataFrame([(*c, 9, 9) for c in x], columns)  # noqa: E731  columns with the ledger's own names
