@@ -7,7 +7,8 @@ gzip header tells where the next begins.
 
 Writing: of records with equal payloads of at least LEAST_BYTES bytes, that of the largest page_id is a response and the others are revisits of it;
 smaller ones are all responses. Null html is an empty payload. Rows that repeat a page_id with its payload are responses alike. A null page_id
-yields to any other. A null url leaves its header out. Only files that a manifest names count, so a task that ran twice leaves nothing behind.
+yields to any other. A null url leaves its header out. Only files that a manifest names count, so a task that ran twice leaves nothing behind. An empty
+table makes an archive without records; other columns don't matter. Records are held whole, one at a time, and no longer than a string can be.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -80,7 +82,13 @@ def _headers(raw: bytes) -> dict[str, str]:
     lines = raw.split(b"\r\n")
     if not lines[0].startswith(b"WARC/"):
         raise ValueError(f"no WARC record begins with {lines[0][:20]!r}")
-    return {k.strip().lower(): v.strip() for k, _, v in (x.decode("utf-8", "replace").partition(":") for x in lines[1:] if x)}
+    whole: list[bytes] = []
+    for x in lines[1:]:
+        if x[:1] in (b" ", b"\t") and whole:  # a folded line goes on with the one before
+            whole[-1] += b" " + x.strip()
+        elif x:
+            whole.append(x)
+    return {k.strip().lower(): v.strip() for k, _, v in (x.decode("utf-8", "replace").partition(":") for x in whole)}
 
 
 class _Window:
@@ -88,6 +96,9 @@ class _Window:
 
     def __init__(self, f: BinaryIO, step: int = 1 << 16):
         self.f, self.step, self.held = f, step, b""
+        here = f.tell()
+        self.left = f.seek(0, 2) - here
+        f.seek(here)
 
     def peek(self, n: int) -> bytes:
         while len(self.held) < n and (more := self.f.read(max(self.step, n - len(self.held)))):
@@ -95,6 +106,9 @@ class _Window:
         return self.held[:n]
 
     def skip(self, n: int) -> None:
+        self.left -= n
+        if self.left < 0:
+            raise EOFError("a record is cut off")
         if n > len(self.held):
             self.f.seek(n - len(self.held), 1)
             self.held = b""
@@ -103,20 +117,23 @@ class _Window:
 
 
 def records(f: BinaryIO, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """Headers of every record, with its block where wanted(headers) says so. Plain files and files of gzip members."""
+    """Headers of every record, with its block where wanted(headers) says so. Plain files and files of gzip members; one that is cut off is an error."""
     w = _Window(f)
     while start := w.peek(24):
         if start[:2] != b"\x1f\x8b":
+            if start[:1] in b"\r\n":  # more empty lines than there should be
+                w.skip(1)
+                continue
             at, n = -1, 1 << 12
             while (at := w.peek(n).find(b"\r\n\r\n")) < 0:
                 if len(w.peek(n)) < n:
-                    return
+                    raise EOFError("a record is cut off")
                 n *= 2
             head = _headers(w.peek(at))
             w.skip(at + 4)
             size = int(head["content-length"])
             block = w.peek(size) if wanted(head) else None
-            w.skip(size + 4)
+            w.skip(size + 4)  # the block's end, too, has to be there
             yield head, block
             continue
         known = struct.unpack_from("<I", start, 16)[0] if start[3] == 4 and start[12:14] == b"sl" else None
@@ -149,23 +166,41 @@ def records(f: BinaryIO, wanted) -> Iterator[tuple[dict[str, str], bytes | None]
         yield head, block
 
 
+def sha1_of(labelled: str) -> str | None:
+    """The lower-case hex of a labelled SHA-1 digest in base 32 or 16, of either case; None for other digests."""
+    label, _, value = labelled.partition(":")
+    if label.strip().lower() not in ("sha1", "sha-1"):
+        return None
+    value = value.strip()
+    if re.fullmatch("[0-9A-Fa-f]{40}", value):
+        return value.lower()
+    return base64.b32decode(value.upper()).hex() if re.fullmatch("[A-Za-z2-7]{32}", value) else None
+
+
 def row(head: dict[str, str], block: bytes | None) -> dict:
-    """The columns of a record. Sizes of full payloads are those that the HTTP headers state."""
-    digest = head.get("warc-payload-digest", "")
+    """The columns of a record: of HTTP messages the payload is what follows their headers, of all else it is the block.
+
+    A revisit's size is that of the full payload, as its HTTP headers state it, or null. A payload that doesn't have its SHA-1 digest is an error,
+    unless it is in a transfer encoding; records without such a digest get it worked out.
+    """
     out = {
         "record_type": head.get("warc-type"), "record_id": head.get("warc-record-id"), "target_uri": head.get("warc-target-uri"),
         "page_id": int(head["page-id"]) if "page-id" in head else None, "refers_to": int(head["refers-to-page-id"]) if "refers-to-page-id" in head else None,
-        "payload_digest": base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None, "payload_bytes": None, "payload": None,
+        "payload_digest": sha1_of(head.get("warc-payload-digest", "")), "payload_bytes": None, "payload": None,
     }
-    if block is not None:
+    if block is None:
+        return out
+    http, payload = b"", block
+    if head.get("content-type", "").lower().startswith("application/http"):
         http, _, payload = block.partition(b"\r\n\r\n")
-        stated = [x.partition(b":")[2] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-        out["payload_bytes"] = int(stated[0]) if stated else len(payload)
-        if out["record_type"] == "response":
-            if out["payload_digest"] not in (None, hashlib.sha1(payload).hexdigest()):
-                raise ValueError(f"the payload of {out['record_id']} doesn't have its digest")
-            out["payload"] = payload
-    return out
+    said = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")[1:])}
+    if out["record_type"] == "revisit":
+        out["payload_bytes"] = int(said[b"content-length"]) if said.get(b"content-length", b"").isdigit() else None
+        return out
+    digest = hashlib.sha1(payload).hexdigest()
+    if out["payload_digest"] not in (None, digest) and b"transfer-encoding" not in said:
+        raise ValueError(f"the payload of {out['record_id']} doesn't have its digest")
+    return out | {"payload": payload, "payload_bytes": len(payload), "payload_digest": out["payload_digest"] or digest}
 
 
 @dataclass

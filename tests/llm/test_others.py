@@ -1,4 +1,6 @@
+import base64
 import collections
+import gzip
 import hashlib
 import io
 import itertools
@@ -175,6 +177,50 @@ def test_headers_come_first_and_unwanted_blocks_are_skipped():
         assert seen == [("0", None), ("1", None), ("2", True), ("3", None)]
 
 
+def foreign(kind, block, *head, eol="\r\n"):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:x>", *head, f"Content-Length: {len(block)}", "", ""]
+    return eol.join(lines).encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    body = b"some resource of bytes"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n0\r\n\r\n"
+    sha = hashlib.sha1(body)
+    b32 = base64.b32encode(sha.digest()).decode()
+    kinds = [
+        foreign("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        foreign("resource", body, "Content-Type: image/png", f"WARC-Payload-Digest: sha1:{sha.hexdigest()}"),
+        foreign("response", http, "Content-Type: application/http;", " msgtype=response", f"WARC-Payload-Digest: SHA1:{b32.lower()}", "WARC-Target-URI: http://a/", "\tb"),
+        foreign("response", http, "Content-Type: application/http", f"WARC-Payload-Digest: sha1:{b32}"),
+        foreign("response", chunked, "Content-Type: application/http", f"WARC-Payload-Digest: sha1:{b32}"),
+        foreign("metadata", b"", "WARC-Payload-Digest: md5:abc"),
+        foreign("revisit", b"", "Content-Type: application/http"),
+    ]
+    for name, pack in (("a.warc", bytes), ("b.warc.gz", gzip.compress)):
+        (tmp_path / name).write_bytes(b"".join(map(pack, kinds)))
+        rows = warc.read(spark, str(tmp_path / name)).collect()
+        assert [r.record_type for r in rows] == ["warcinfo", "resource", "response", "response", "response", "metadata", "revisit"]
+        assert [r.payload_bytes for r in rows] == [13, 22, 22, 22, 13, 0, None] and bytes(rows[1].payload) == bytes(rows[2].payload) == body
+        assert rows[1].payload_digest == rows[2].payload_digest == sha.hexdigest() and rows[2].target_uri == "http://a/ b"
+        assert warc.read(spark, str(tmp_path / name), types="resource").count() == 1
+        whole = b"".join(map(pack, kinds))
+        for cut in (len(whole) - 1, len(whole) - len(pack(kinds[-1])) - 3, len(whole) - len(pack(kinds[-1])) + 20):
+            for wanted in (lambda h: True, lambda h: False):
+                with pytest.raises(EOFError):
+                    list(warc.records(io.BytesIO(whole[:cut]), wanted))
+    wrong = foreign("response", http, "Content-Type: application/http", "WARC-Payload-Digest: sha1:" + "0" * 40)
+    with pytest.raises(ValueError, match="digest"):
+        [warc.row(*x) for x in warc.records(io.BytesIO(wrong), lambda h: True)]
+
+
+def test_members_that_tell_their_length_are_not_cut_off_unseen():
+    base = {"page_id": 1, "target_uri": "u", "refers_to": None, "record_type": "response", "payload": b"x" * 90_000, "payload_bytes": 90_000, "payload_digest": hashlib.sha1(b"x" * 90_000).hexdigest()}
+    data = warc.member(warc.record(base, "2024-01-01T00:00:00Z"))
+    with pytest.raises(EOFError):
+        list(warc.records(io.BytesIO(data + data[:-5]), lambda h: False))
+
+
 def brute_scores(texts, order=3, backoff=0.4):
     docs = [(t or "").encode().split() for t in texts]
     grams = [collections.Counter(tuple(d[i - k + 1 : i + 1]) for k in range(1, order + 1) for i in range(k - 1, len(d))) for d in docs]
