@@ -4,9 +4,11 @@ The automaton holds every stretch of words of every item. A document's words str
 items the last words run through. A window is WINDOW consecutive words of an item, or a whole shorter item. A matched length of WINDOW or more,
 or a match that ends in a whole short item, hits those words; a document is contaminated when the hit words reach 1 / SHARE of it.
 
-The automaton is built on the driver from the benchmark, whose size is checked: a benchmark of more than PART_WORDS words becomes several automata
-that every document passes in turn. Null and wordless texts and items hit nothing. Repeated items count once for each item_id.
-Repeated documents give repeated rows. Other columns don't matter; null item_ids are left out of the lists of items.
+The automaton is built on the driver from the benchmark, PART_WORDS words at a time: a larger benchmark becomes several automata, one in memory at a time, and
+each is a pass over the documents; an item that is longer is cut into stretches that share WINDOW - 1 words, so that every window lies in one.
+Texts of any length stream through word by word. Null and wordless texts and items hit nothing. Repeated items count once for each item_id.
+Repeated documents give repeated rows; empty tables give empty results, an empty benchmark hits nothing. Other columns don't matter, whatever their names;
+null item_ids are left out of the lists of items.
 """
 
 from __future__ import annotations
@@ -14,16 +16,19 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from broadsheet.storage import discard, materialise
+
 WINDOW = 13
 SHARE = 20
-#: Words of items in one automaton, and in memory at once; a benchmark may have any number of such parts.
-PART_WORDS = 2_000_000
+#: Words of items in one automaton (at most about 120 MB), and in memory at once; a benchmark may have any number of such parts.
+PART_WORDS = 200_000
 
 _LETTERS = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 0x20 for b in range(256))
 
@@ -163,35 +168,76 @@ class _Forever:
 _MINUS = _Forever()
 
 
-def load(benchmark: DataFrame, window: int = WINDOW) -> list[Benchmark]:
-    """Automata over all items. Items are test sets, far smaller than the corpus; they stream to the driver and split into parts by size."""
-    parts, held, size = [], [], 0
+def load(benchmark: DataFrame, window: int = WINDOW) -> Iterator[Benchmark]:
+    """One automaton after the other over all items, which stream to the driver; at least one, maybe empty."""
+    held, size, most = [], 0, max(PART_WORDS, 2 * window)
     chosen = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
     for item, text in chosen.toLocalIterator():
-        if ws := words(text):
-            if held and size + len(ws) > PART_WORDS:
-                parts.append(Benchmark(held, window))
+        ws = words(text)
+        for at in range(0, max(len(ws) - window + 1, 1), most - window + 1) if ws else ():
+            some = ws[at : at + most]
+            if held and size + len(some) > PART_WORDS:
+                yield Benchmark(held, window)
                 held, size = [], 0
-            held.append((item, ws))
-            size += len(ws)
-    return [*parts, Benchmark(held, window)]
-
-
-def scan(text: str | None, parts: list[Benchmark]) -> tuple[int, list[tuple[int, int]], list[str]]:
-    """Number of words, hit spans over all parts, ids of the items with occurring windows."""
-    spans, items = [], set()
-    n = 0
-    for b in parts:
-        n, some, which = b.scan(text)
-        spans += some
-        items |= {b.items[i] for i in which} - {None}
-    merged: list[tuple[int, int]] = []
+            held.append((item, some))
+            size += len(some)
+    yield Benchmark(held, window)
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
     for a, z in sorted(spans):
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(z, merged[-1][1]))
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
         else:
-            merged.append((a, z))
-    return n, merged, sorted(items)
+            out.append((a, z))
+    return out
+
+
+def scan(text: str | None, part: Benchmark, spans: list | None = None, items: list | None = None) -> tuple[int, list[tuple[int, int]], list[str]]:
+    """Number of words, hit spans, ids of the items with occurring windows, in this part and in those before, whose finds are given."""
+    n, some, which = part.scan(text)
+    before = [(s["first"], s["end"]) for s in spans or ()]
+    return n, merged(before + some), sorted({*(items or ()), *(part.items[i] for i in which)} - {None})
+
+
+def _unused(name: str, columns: list[str]) -> str:
+    while name.lower() in (c.lower() for c in columns):
+        name += "_"
+    return name
+
+
+SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+
+
+def _pass(rows: DataFrame, benchmark: DataFrame, window: int, finish: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema) -> DataFrame:
+    """finish(batch, scans of its texts) for all rows, after every part of the benchmark has seen them; what earlier parts found comes along in two columns."""
+    spans, items = _unused("spans", rows.columns), _unused("items", rows.columns)
+    names = rows.columns
+    rows = rows.withColumn(spans, F.lit(None).cast("array<struct<first: long, end: long>>")).withColumn(items, F.lit(None).cast("array<string>"))
+    parts, before = load(benchmark, window), None
+
+    def run(part: Benchmark, last: bool):
+        def scans(batches):
+            for batch in batches:
+                for k in range(0, batch.num_rows, 512):
+                    b = batch.slice(k, 512)
+                    found = [scan(t, part, s, i) for t, s, i in zip(b["text"].to_pylist(), b[spans].to_pylist(), b[items].to_pylist(), strict=True)]
+                    if last:
+                        yield finish(b.select(names), found)
+                        continue
+                    b = b.set_column(len(names), spans, pa.array([[{"first": a, "end": z} for a, z in x[1]] for x in found], SPANS))
+                    yield b.set_column(len(names) + 1, items, pa.array([x[2] for x in found], pa.list_(pa.string())))
+
+        return scans
+
+    part = next(parts)
+    for following in parts:
+        rows = materialise(rows.mapInArrow(run(part, False), rows.schema), "contamination")
+        if before is not None:
+            discard(before)
+        part, before = following, rows
+    return rows.mapInArrow(run(part, True), schema)
 
 
 def contaminated(n_hit: int, n_words: int, share: int = SHARE) -> bool:
@@ -200,23 +246,18 @@ def contaminated(n_hit: int, n_words: int, share: int = SHARE) -> bool:
 
 def measure(docs: DataFrame, benchmark: DataFrame, share: int = SHARE, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (first and one past the last word of each hit stretch)."""
-    parts = load(benchmark, window)
-
-    def run(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                b = batch.slice(k, 512)
-                out = []
-                for t in b["text"].to_pylist():
-                    n, spans, items = scan(t, parts)
-                    hit = sum(z - a for a, z in spans)
-                    out.append((n, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), contaminated(hit, n, share), [{"first": a, "end": z} for a, z in spans]))
-                columns = list(zip(*out, strict=True)) or [()] * 6
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))]
-                yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+
+    def finish(b: pa.RecordBatch, scans: list) -> pa.RecordBatch:
+        out = []
+        for n, spans, items in scans:
+            hit = sum(z - a for a, z in spans)
+            out.append((n, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), contaminated(hit, n, share), [{"first": a, "end": z} for a, z in spans]))
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), SPANS]
+        return pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first: long, end: long>>")
+    return _pass(rows, benchmark, window, finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first: long, end: long>>")
 
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -226,9 +267,8 @@ def _upper(text: str) -> str:
     return re.sub("[A-Z]+", lambda m: m[0].lower(), text)
 
 
-def cut(text: str | None, parts: list[Benchmark], share: int = SHARE) -> str | None:
-    """The text without its hit stretches; None where they reach the limit of coverage."""
-    n, spans, _ = scan(text, parts)
+def cut(text: str, n: int, spans: list[tuple[int, int]], share: int = SHARE) -> str | None:
+    """The text of n words without its hit stretches; None where they reach the limit of coverage."""
     if not spans:
         return text
     if contaminated(sum(z - a for a, z in spans), n, share):
@@ -243,17 +283,13 @@ def cut(text: str | None, parts: list[Benchmark], share: int = SHARE) -> str | N
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, share: int = SHARE, window: int = WINDOW) -> DataFrame:
     """The columns of docs: contaminated documents are gone, hit stretches are cut out of the others; n_chars, if there, follows the text."""
-    parts = load(benchmark, window)
-    place, schema = docs.columns.index("text"), docs.schema
-
-    def run(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                b = batch.slice(k, 512)
-                old = b["text"].to_pylist()
-                new = [cut(t, parts, share) if t is not None else None for t in old]
-                keep = pa.array([t is None or x is not None for t, x in zip(old, new, strict=True)], pa.bool_())
-                yield b.set_column(place, "text", pa.array(new, b["text"].type)).filter(keep)
-
-    out = docs.mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    place = docs.columns.index("text")
+
+    def finish(b: pa.RecordBatch, scans: list) -> pa.RecordBatch:
+        old = b["text"].to_pylist()
+        new = [None if t is None else cut(t, n, spans, share) for t, (n, spans, _) in zip(old, scans, strict=True)]
+        keep = pa.array([t is None or x is not None for t, x in zip(old, new, strict=True)], pa.bool_())
+        return b.set_column(place, "text", pa.array(new, b["text"].type)).filter(keep)
+
+    out = _pass(docs, benchmark, window, finish, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

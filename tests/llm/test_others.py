@@ -140,10 +140,28 @@ def test_contamination(spark, part_words, monkeypatch):
 
 def test_cut_removes_only_hit_words():
     item = " ".join(f"t{k}" for k in range(14))
-    parts = [contamination.Benchmark([("1", contamination.words(item))])]
+    part = contamination.Benchmark([("1", contamination.words(item))])
+    cut = lambda t: contamination.cut(t, *contamination.scan(t, part)[:2])
     long = "Start here. " + " ".join(f"w{k}" for k in range(600))
-    assert contamination.cut(f"{long} {item.upper()}, end.", parts) == f"{long} , end."
-    assert contamination.cut(item, parts) is None and contamination.cut("clean", parts) == "clean"
+    assert cut(f"{long} {item.upper()}, end.") == f"{long} , end."
+    assert cut(item) is None and cut("clean") == "clean"
+
+
+def test_one_part_of_the_benchmark_at_a_time(spark, monkeypatch):
+    """Parts hold no more words than they may, an item longer than a part included, and every window lies in one of them."""
+    monkeypatch.setattr(contamination, "PART_WORDS", 30)
+    items = [(1, " ".join(f"a{k}" for k in range(100))), (2, "b1 b2"), (3, None), (4, " ".join(f"c{k}" for k in range(29)))]
+    seen, windows = [], set()
+    for part in contamination.load(spark.createDataFrame(items, "item_id long, text string").coalesce(1)):
+        seen.append(part)
+        assert len(part.vocabulary) <= 30
+    back = lambda p, x: contamination.scan(x, p)[1]
+    for k in range(88):
+        window = " ".join(f"a{j}" for j in range(k, k + 13))
+        windows.add(any(back(p, window) == [(0, 13)] for p in seen))
+    assert windows == {True} and len(seen) > 4
+    docs = spark.createDataFrame([(1, items[0][1], "x", 5, 7)], "doc_id long, text string, spans string, Items int, n_chars long")
+    assert contamination.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
 def test_warc_round_trip(spark):
