@@ -5,7 +5,8 @@ roles and texts get a backslash after their first character (one more if some ar
 unchanged. The loss mask lies over the texts of assistant turns, not over control strings.
 
 Rows go by turn; equal turns by role, then text; a null turn first. Null roles and texts count as empty; repeated rows are repeated turns.
-A null conv_id is a conversation of its own. Other columns don't matter. An empty table gives an empty result.
+A null conv_id is a conversation of its own. Other columns don't matter, whatever their names. An empty table gives an empty result. Turns may be of any length
+and are kept whole, but a conversation is one row, so it has to fit in what a string can hold (2 GB).
 """
 
 from __future__ import annotations
@@ -38,21 +39,42 @@ def collect_turns(conversations: DataFrame) -> DataFrame:
     return conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
 
+def merge_turns(turns: Column) -> Column:
+    """Array of (role, first, texts): adjacent turns of one role together, first being the number of the first of them."""
+
+    def merge(turns: Column) -> Column:
+        begins = F.transform(turns, lambda t, i: F.when((i == 0) | (F.get(turns, i - 1)["role"] != t["role"]), i))
+
+        def runs(begin: Column) -> Column:
+            def one(a: Column, k: Column) -> Column:
+                end = F.coalesce(F.get(begin, k + 1), F.size(turns))
+                return F.struct(F.get(turns, a)["role"].alias("role"), a.alias("first"), F.transform(F.slice(turns, a + 1, end - a), lambda t: t["text"]).alias("texts"))
+
+            return F.transform(begin, one)
+
+        return bind(F.filter(begins, lambda i: i.isNotNull()), runs)
+
+    return bind(turns, merge)
+
+
 def format_turns(collected: DataFrame) -> DataFrame:
-    """conv_id, pieces (text, in_loss; together they are the formatted text), formatted."""
+    """conv_id, merged (role, first, texts), formatted, mask.
+
+    mask: the stretches of formatted that are trained on, as (text, start, length) in code points; texts are what NEXT or END ends, counted from 0, and
+    start counts from where the last of these ended, so that reading a stretch doesn't search the whole text.
+    """
+    merged = collected.select("conv_id", merge_turns(F.col("turns")).alias("merged"))
+    written = F.transform("merged", lambda m: F.struct((m["role"] == TRAINED).alias("trained"), m["first"].alias("first"), F.concat(F.lit(START), escape(m["role"]), F.lit(TEXT)).alias("head"), F.transform(m["texts"], escape).alias("texts")))
 
-    def pieces(turns: Column) -> Column:
-        def one(t: Column, i: Column) -> Column:
-            before = F.get(turns, i - 1)["role"]
-            head = F.concat(F.lit(START), escape(t["role"]), F.lit(TEXT))
-            control = F.when(i == 0, head).when(before == t["role"], F.lit(NEXT)).otherwise(F.concat(F.lit(END), head))
-            return F.array(F.struct(control.alias("text"), F.lit(False).alias("in_loss")), F.struct(escape(t["text"]).alias("text"), (t["role"] == TRAINED).alias("in_loss")))
+    def spans(w: Column) -> Column:
+        start = lambda j: F.when(j == 0, F.length(w["head"])).otherwise(0)
+        return F.transform(w["texts"], lambda t, j: F.struct((w["first"] + j).alias("text"), start(j).alias("start"), F.length(t).alias("length")))
 
-        last = F.array(F.struct(F.lit(END).alias("text"), F.lit(False).alias("in_loss")))
-        return F.concat(F.flatten(F.transform(turns, one)), last)
+    def output(runs: Column) -> Column:
+        text = F.transform(runs, lambda w: F.concat(w["head"], F.array_join(w["texts"], NEXT), F.lit(END)))
+        return F.struct(F.array_join(text, "").alias("formatted"), F.flatten(F.transform(F.filter(runs, lambda w: w["trained"]), spans)).alias("mask"))
 
-    with_pieces = collected.select("conv_id", bind(F.col("turns"), pieces).alias("pieces"))
-    return with_pieces.withColumn("formatted", F.array_join(F.col("pieces")["text"], ""))
+    return merged.withColumn("out", bind(written, output)).select("conv_id", "merged", "out.formatted", "out.mask")
 
 
 def parse(formatted: Column) -> Column:
@@ -69,12 +91,18 @@ def parse(formatted: Column) -> Column:
     return F.flatten(F.transform(F.filter(blocks, lambda b: b != ""), run))
 
 
+def masked(formatted: Column, mask: Column) -> Column:
+    """The texts under the mask, unescaped, one after the other."""
+    texts = F.split(formatted, rf"\Q{NEXT}\E|\Q{END}\E", -1)
+    return bind(texts, lambda x: F.array_join(F.transform(mask, lambda s: unescape(F.substring(F.get(x, s["text"]), s["start"] + 1, s["length"]))), ""))
+
+
 def digest(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the formatted texts and the mask."""
     back = formatted.select(
         "conv_id",
         F.length("formatted").cast("long").alias("formatted_chars"),
         bind(parse(F.col("formatted")), lambda turns: F.struct(F.size(turns).cast("long").alias("n"), F.sha2(F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").cast("binary"), 256).alias("sha"))).alias("turns"),
-        F.array_join(F.transform(F.filter("pieces", lambda p: p["in_loss"]), lambda p: unescape(p["text"])), "").alias("loss"),
+        masked(F.col("formatted"), F.col("mask")).alias("loss"),
     )
     return back.select("conv_id", F.col("turns.n").alias("n_turns"), F.col("turns.sha").alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")

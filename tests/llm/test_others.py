@@ -94,6 +94,23 @@ def test_chat_round_trip(spark):
     assert chat.digest(chat.format_turns(chat.collect_turns(docs.limit(0)))).count() == 0
 
 
+def test_merged_turns_and_mask_are_values(spark):
+    rows = [(1, 0, "user", "a<|x"), (1, 1, "user", "b"), (1, 2, "assistant", "é</s>😀"), (1, 3, "assistant", ""), (1, 4, "assistant", "d"), (1, 5, "user", "e"), (1, 6, "assistant", "f")]
+    r = chat.format_turns(chat.collect_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert [(m.role, m.texts) for m in r.merged] == [("user", ["a<|x", "b"]), ("assistant", ["é</s>😀", "", "d"]), ("user", ["e"]), ("assistant", ["f"])]
+    texts = re.split(re.escape(chat.END) + "|" + re.escape(chat.NEXT), r.formatted)
+    assert [texts[m.text][m.start : m.start + m.length] for m in r["mask"]] == ["é<\\/s>😀", "", "d", "f"]
+
+
+def test_a_long_conversation(spark):
+    """Twenty thousand turns of one role, and as many of alternating ones."""
+    rows = spark.range(20_000).selectExpr("1L AS conv_id", "id AS turn", "'assistant' AS role", "concat('t', id, '<|') AS text")
+    rows = rows.union(spark.range(20_000).selectExpr("2L", "id", "if(id % 2 = 0, 'user', 'assistant')", "concat('t', id)"))
+    got = {r.conv_id: r for r in chat.digest(chat.format_turns(chat.collect_turns(rows))).collect()}
+    for c, loss in ((1, "".join(f"t{k}<|" for k in range(20_000))), (2, "".join(f"t{k}" for k in range(1, 20_000, 2)))):
+        assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (20_000, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 def test_chat_ties(spark):
     rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "system", "s")]
     f = chat.format_turns(chat.collect_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first().formatted
