@@ -8,6 +8,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from broadsheet.llm import chat, contamination, lm_scores, quality, warc
@@ -67,6 +68,38 @@ def test_estimate_is_that_of_the_nearest_rows(spark):
     assert all(abs(est[f"m{i}"] - mean[i]) < 0.5 for i in range(5)) and all(est[f"l{i}_{i}"] > 0 for i in range(5)) and est["rows"] == 120
 
 
+def test_chi_square():
+    """Values of printed tables."""
+    assert abs(quality.chi_square_quantile(0.95, 5) - 11.0705) < 1e-4 and abs(quality.chi_square_quantile(0.975, 1) - 5.02389) < 1e-4
+    assert abs(quality.chi_square_quantile(0.999, 10) - 29.5883) < 1e-4 and abs(quality.chi_square(2 * math.log(2), 2) - 0.5) < 1e-9
+    assert abs(quality.consistency(1, 0.5) - 0.5 / (0.5 - 2 * 0.6744898 * 0.3177766)) < 1e-4  # of the middle half of a normal sample
+
+
+def test_estimate_is_the_least_determinant(spark, monkeypatch):
+    """Against all subsets of small groups; bins so narrow that each holds one row."""
+    monkeypatch.setattr(quality, "BINS_PER_OCTAVE", 1 << 20)
+    rng, floors, p = np.random.default_rng(4), [f for _, _, f in quality.features()], 5
+    groups = {}
+    for g in range(12):
+        a = rng.normal(size=(11, p)) @ rng.normal(size=(p, p)) * 8
+        a[:2] += rng.normal(size=p) * 60  # outliers
+        groups[f"s{g}"] = np.round(a * quality.SCALE).astype(int)
+    rows = [(s, *map(int, r)) for s, a in groups.items() for r in a]
+    x = spark.createDataFrame(rows, "source string, " + ", ".join(f"x{i} long" for i in range(p))).selectExpr("CAST(null AS string) AS lang", "*")
+    got, c, best = {r.source: r for r in quality.estimates(x).collect()}, quality.consistency(p, quality.COVER), 0
+    for s, a in groups.items():
+        tried = []
+        for chosen in itertools.combinations(range(len(a)), math.ceil(len(a) * quality.COVER)):
+            v = a[list(chosen)] / quality.SCALE
+            tried.append((np.linalg.det(c * np.cov(v.T, bias=True) + np.diag(np.square(floors))), tuple(v.mean(0))))
+        least, centre = min(tried)
+        assert got[s].det > least * (1 - 1e-6)
+        if got[s].det < least * (1 + 1e-6):
+            best += 1
+            assert np.allclose([got[s][f"m{i}"] for i in range(p)], centre)
+    assert best >= 10  # concentration may end in a local minimum
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(5)
     bits = ["<|start|>", "<|end|>\n", "<|next|>", "<|text|>", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<\\|", "<\\\\|x", "\\", "[\\INST]", "plain", "\n", "é", "<", "|", "", "😀"]
