@@ -343,8 +343,15 @@ def _slices(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids of each document's whole text. A null text gives no ids; other columns don't matter."""
+def encode_documents(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids of each document's whole text. A null text gives no ids; other columns don't matter.
+
+    decoded: also decoded_sha256, of the UTF-8 of what the ids decode to.
+    """
+
+    def back(ids: np.ndarray) -> str:
+        d = StreamDecoder(path)
+        return hashlib.sha256((d.feed(ids.tolist()) + d.finish()).encode()).hexdigest()
 
     def run(batches):
         for b in _slices(batches):
@@ -352,9 +359,12 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             ends = np.cumsum([0, *map(len, ids)])
             values = np.concatenate([np.empty(0, np.int32), *ids]).astype(np.int32)
             out = {"doc_id": b["doc_id"], "n_tokens": pa.array(np.diff(ends), pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))}
+            if decoded:
+                out["decoded_sha256"] = pa.array([back(x) for x in ids], pa.string())
             yield pa.RecordBatch.from_pydict(out)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    schema = "doc_id long, n_tokens long, ids array<int>" + (", decoded_sha256 string" if decoded else "")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

@@ -5,7 +5,8 @@ S(w | context) is count(context w) / count(context) where the numerator is above
 below unigrams stands BACKOFF / (N + 1) for a word that no other document has. N: words of the other documents. Counts leave the document's own
 occurrences out; the first words of a document have shorter contexts.
 
-Null and wordless texts: no words, score 0. Repeated rows are documents of their own (equal texts support each other). Null doc_ids stay null.
+Null and wordless texts: no words, score 0. Repeated rows are documents of their own (equal texts support each other). Null doc_ids stay null. Texts of any
+length are scored whole. An empty table gives an empty result. Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ compared a few at a time, and a pair is dropped once the posterior probability (
 below TOLERANCE. The rest is verified exactly.
 
 A text of one to four words is one shingle of them all; null and wordless texts have none and are like no other text, but equal ones are still a class.
-Repeated rows are copies. Of equal doc_ids the one stored first leads. A null doc_id orders before all others. Other columns don't matter.
+Texts of any length are compared whole, a very long one in a block of its own; an empty table gives an empty result. Repeated rows are copies. Of equal doc_ids the one stored first leads. A null doc_id orders before all others. Other columns don't matter.
 """
 
 from __future__ import annotations

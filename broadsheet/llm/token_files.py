@@ -5,7 +5,9 @@ File format (a Parquet folder that Spark writes and commits, so that lost execut
 per document), ``marks`` (uint32 bit offsets of every CHECKPOINT-th id) and ``payload`` (bits, most significant first);
 ``codebook``: one row with the code length of every id (one byte each), from which the canonical codes follow.
 
-Null texts count as empty; each document gets its end id. Rows of equal doc_id come in the order of their texts' hashes. Null doc_ids come first.
+Null texts count as empty; each document gets its end id. Rows of equal doc_id come in the order of their texts' hashes. Null doc_ids come first. A text of any
+length is one document, whose ids lie whole in one block. Repeated rows are documents of their own. Empty tables give files without blocks. Other columns
+don't matter, whatever their names.
 """
 
 from __future__ import annotations

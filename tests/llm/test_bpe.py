@@ -238,6 +238,12 @@ def test_two_writers_at_once(spark, monkeypatch):
     assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "t", 1, 3)]
 
 
+def test_encoded_documents_decode(spark, library):
+    texts = odd_texts(30)
+    rows = {r.doc_id: r for r in bpe.encode_documents(table(spark, texts), PATH, decoded=True).collect()}
+    assert all(rows[i].ids == ids(library, t) and rows[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest() for i, t in enumerate(texts))
+
+
 def test_count_tokens(spark, library):
     texts = odd_texts(20)
     got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(table(spark, texts), PATH).collect()}
