@@ -1,4 +1,9 @@
-"""From raw documents to token ids: five stages, each a table written as Parquet and read again by the next."""
+"""From raw documents to token ids: five stages, each a table written as Parquet and read again by the next.
+
+Every stage defines awkward rows as its operator does (see their docstrings). Null texts fail the quality rules, so that later stages don't meet any; null
+doc_ids are kept and come before all others where order counts; repeated rows are copies, of which the near-duplicate stage keeps one; ties in doc_id go
+by the place stored; an empty table gives an empty result. All stages but the last return the columns that they were given, others than those of documents too.
+"""
 
 from __future__ import annotations
 
@@ -29,8 +34,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: every kept text as ids. The last stage: one row per document with its ids."""
-    return bpe.encode_documents(docs, queries.TOKENIZER)
+    """Operator 4: every kept text as ids, and the digest of what they decode to. The last stage: one row per document."""
+    return bpe.encode_documents(docs, queries.TOKENIZER, decoded=True)
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_similarity), ("near_duplicates", near_duplicate_join), ("decontamination", decontamination), ("bpe_encoding", encode)]
