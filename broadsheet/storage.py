@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where the setting is absent (tests), a new local folder takes its place."""
+    """The folder named by spark.checkpoint.dir. Where the setting is absent and the session is a single process (tests), a new local folder takes its place."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="broadsheet-")
         atexit.register(shutil.rmtree, base.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -21,8 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/broadsheet/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has used yet; what lies there goes when the driver ends."""
+    own = f"{shared_dir(spark)}/broadsheet/{spark.sparkContext.applicationId}"
+    if own not in _leaving:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(target)
+        fs.deleteOnExit(target)
+        _leaving.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+_leaving: set[str] = set()
 
 
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
