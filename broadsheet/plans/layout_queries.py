@@ -275,9 +275,9 @@ def k07_root_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.root_titles(blocks(spark, sf_dir))
 
 
-GEO = f"""{WITH}, p AS (SELECT a.page_id, a.block_id AS a_id, b.block_id AS b_id, {iou("a", "b")} AS col_iou, {mv("a", "b")} AS col_overlap, {ct("a", "b")} AS containment,
+GEO = f"""{WITH}, n AS (SELECT a, lead(a) OVER (PARTITION BY page_id ORDER BY block_id) AS b FROM blocks a), p AS (SELECT a.page_id, a.block_id AS a_id, b.block_id AS b_id, {iou("a", "b")} AS col_iou, {mv("a", "b")} AS col_overlap, {ct("a", "b")} AS containment,
   {yo("a", "b")} / least(a.y2 - a.y1, b.y2 - b.y1)::DOUBLE AS row_overlap, {xo("a", "b")} * {yo("a", "b")} / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {xo("a", "b")} * {yo("a", "b")})::DOUBLE AS iou,
-  greatest(b.y1 - a.y2, a.y1 - b.y2, 0) + (1 - {iou("a", "b")}) * 100000 AS distance FROM blocks a JOIN blocks b ON a.page_id = b.page_id AND b.block_id = a.block_id + 1)"""
+  greatest(b.y1 - a.y2, a.y1 - b.y2, 0) + (1 - {iou("a", "b")}) * 100000 AS distance FROM n WHERE b.block_id = a.block_id + 1)"""
 
 
 @query(f"{GEO} SELECT page_id, a_id, b_id, {', '.join(f'round({c}, 6) AS {c}' for c in ('col_iou', 'col_overlap', 'containment', 'row_overlap', 'iou', 'distance'))} FROM p")
