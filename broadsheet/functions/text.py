@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -26,6 +27,11 @@ def strip(c: Column | str) -> Column:
     return F.btrim(text_of(c), F.lit(WHITE))
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def words(c: Column | str) -> Column:
     return F.filter(F.split(text_of(c), r"(?U)\s+"), lambda w: w != "")
 
@@ -123,9 +129,11 @@ def entities(c: Column | str) -> Column:
     first = lambda p: F.split(p, r"\s+")[0]
     dates = F.concat(F.filter(phrases, lambda p: first(p).isin(X.MONTHS)), F.regexp_extract_all(t, F.lit(rf"(\d{{1,2}}\s+(?:{'|'.join(X.MONTHS)})\s+\d{{4}})"), 1))
     people = F.filter(phrases, lambda p: p.rlike(r"\s") & ~first(p).isin(X.MONTHS))
-    organizations = F.flatten(F.array(*(F.regexp_extract_all(t, F.lit(f"([A-Z][A-Za-z& ]+{k})"), 1) for k in X.ORGANISATIONS)))
+    none = F.array().cast("array<string>")
+    named = lambda k: F.when(t.contains(k), F.regexp_extract_all(t, F.lit(f"([A-Z][A-Za-z& ]+{k})"), 1)).otherwise(none)
+    organizations = F.flatten(F.array(*(named(k) for k in X.ORGANISATIONS)))
     tidy = lambda a: F.array_sort(F.array_distinct(a))
-    return F.struct(tidy(people).alias("people"), tidy(organizations).alias("organizations"), F.array().cast("array<string>").alias("places"), tidy(dates).alias("dates"))
+    return F.struct(tidy(people).alias("people"), tidy(organizations).alias("organizations"), none.alias("places"), tidy(dates).alias("dates"))
 
 
 def sentiment(c: Column | str) -> Column:
@@ -246,14 +254,19 @@ def source_eligible(kind: Column, text: Column, page: Column) -> Column:
 
 
 def text_overlap(source: Column, target: Column) -> Column:
-    """Struct: text score of two texts (the end of one, the beginning of the other) without the character part, and shared tokens."""
-    a, b = match_tokens(F.right(text_of(source), F.lit(1800))), match_tokens(F.left(text_of(target), F.lit(1800)))
-    x, y = F.array_distinct(a), F.array_distinct(b)
+    """Struct: parts of the text score of two texts (the end of one, the beginning of the other) but for the characters, shared tokens, whether both have any."""
+    tokens = F.struct(match_tokens(F.right(text_of(source), F.lit(1800))).alias("a"), match_tokens(F.left(text_of(target), F.lit(1800))).alias("b"))
+    sets = bind(tokens, lambda t: F.struct(F.array_distinct(t["a"]).alias("x"), F.array_distinct(t["b"]).alias("y"), trigrams(t["a"]).alias("g"), trigrams(t["b"]).alias("h")))
+    return bind(sets, _overlap)
+
+
+def _overlap(sets: Column) -> Column:
+    x, y = sets["x"], sets["y"]
     shared = F.size(F.array_intersect(x, y))
-    jac, tri, least = jaccard(x, y), min_share(trigrams(a), trigrams(b)), min_share(x, y)
+    jac, tri, least = jaccard(x, y), min_share(sets["g"], sets["h"]), min_share(x, y)
     empty = (F.size(x) == 0) | (F.size(y) == 0)
     zero = F.lit(0.0)
-    return F.struct(F.when(empty, zero).otherwise(jac).alias("jaccard"), F.when(empty, zero).otherwise(tri).alias("trigram"), F.when(empty, zero).otherwise(least).alias("min_share"), shared.alias("shared"))
+    return F.struct(F.when(empty, zero).otherwise(jac).alias("jaccard"), F.when(empty, zero).otherwise(tri).alias("trigram"), F.when(empty, zero).otherwise(least).alias("min_share"), shared.alias("shared"), (~empty).alias("comparable"))
 
 
 def readability(confidence: Column) -> Column:

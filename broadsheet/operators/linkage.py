@@ -69,52 +69,111 @@ def logical_articles(articles: DataFrame, links: DataFrame) -> DataFrame:
     return out.select("article_id", F.coalesce("component", "article_id").alias("logical_id"), F.when(F.col("component").isNull(), "standalone").otherwise("merged").alias("status"))
 
 
-def candidates(sources: DataFrame, targets: DataFrame, pages: DataFrame) -> DataFrame:
-    """A source's printed target page, by the page map or as it is, and the eligible articles on that page."""
-    mapped = sources.join(pages.select(F.col("folio").alias("next_page"), "page"), "next_page", "left").withColumn("page", F.coalesce("page", "next_page"))
-    t = targets.select(F.col("article_id").alias("target_id"), "page", F.col("text").alias("target_text"), F.col("headline").alias("target_headline"))
-    return mapped.join(t, "page").filter(F.col("article_id") != F.col("target_id"))
+def candidates(sources: DataFrame, targets: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """A source's printed target page, by its document's page map or as it is, and the eligible articles on that page of the same document.
+
+    Sources and targets: document_id, page, article_id, text, headline, and, if there, about (words of entities, topics and keywords); sources also
+    next_page. `pages`: document_id, folio, page. A source's own page becomes own_page, a target's columns begin with target_. A source without a
+    document or a page to go to has no candidates; repeated rows stay.
+    """
+    s = sources.withColumnRenamed("page", "own_page").withColumn("page", F.col("next_page"))
+    if pages is not None:
+        known = pages.groupBy("document_id", F.col("folio").alias("next_page")).agg(F.min("page").alias("mapped"))
+        s = s.join(known, ["document_id", "next_page"], "left").withColumn("page", F.coalesce("mapped", "page")).drop("mapped")
+    more = [c for c in ("about",) if c in targets.columns]
+    t = targets.select("document_id", "page", *(F.col(c).alias(f"target_{c.removeprefix('article_')}") for c in ("article_id", "text", "headline", *more)))
+    return s.join(t, ["document_id", "page"]).filter(F.col("article_id") != F.col("target_id"))
+
+
+# Least score, shared tokens, text score and metadata score of an accepted link, by source and target.
+ARTICLE, TITLELESS, SPECIAL = (0.25, 3, 0.20, 0.0), (0.22, 3, 0.20, 0.0), (0.22, 2, 0.12, 0.08)
+CERTAIN_TEXT, CLEAR, SLUG_SHARED = 0.42, 0.045, 3
+
+
+def _good(whole, text, meta, shared, limits: tuple[float, int, float, float], special: bool):
+    """Whether scores reach their limits: of columns or of numbers."""
+    score, words, least_text, least_meta = limits
+    good = (whole >= score) & (shared >= words) & (text >= least_text)
+    return good & ((meta >= least_meta) | (text >= CERTAIN_TEXT)) if special else good
 
 
 def score(found: DataFrame, every: bool = False) -> DataFrame:
-    """source_id, target_id, score, text_score, shared: how well a target goes on from a source.
+    """source_id, target_id, score, text_score, meta_score, shared and what acceptance needs: how well a target goes on from a source.
+
+    `found` as from candidates(): article_id, text, headline, target_id, target_text, target_headline; if there, content_type (else article),
+    jump_slug, about and target_about (arrays of tokens), own_page. Text score: 0.38 Jaccard, 0.27 trigrams, 0.20 characters around the break, 0.15 share
+    of the smaller; 0 if either side has no tokens. Metadata: Jaccard of the tokens of `about`. Then 0.68 of the text and 0.32 of the metadata for captions
+    and references, 0.72 and 0.28 for targets without a title, else 0.58 and 0.22 and 0.20 of the headlines. A slug of two words or more that the target's
+    headline has in full gives 0.80 of its similarity and 0.20 of the text if that is more. Nulls are empty texts.
 
-    Text score: 0.38 Jaccard, 0.27 trigrams, 0.20 characters around the break, 0.15 share of the smaller; then 0.58 of it and 0.20 of the headlines.
-    Characters and headlines are compared one pair at a time, so (unless `every`) only for sources of which some target could be accepted if both agreed
-    fully; the scores of the other sources lack these parts, and stay below acceptance either way.
+    Characters and headlines are compared one pair at a time, so (unless `every`) only where they can matter: headlines for sources of which some target
+    could be accepted if both agreed fully, characters for the targets of those sources that could come within the margin of what the best one has without
+    them. The other scores lack these parts, and are neither best nor near it either way.
     """
     ratio = ratio_udf()
-    o = found.withColumn("o", T.text_overlap(F.col("text"), F.col("target_text"))).withColumn("bare", T.titleless("target_headline"))
+    has = lambda c: c in found.columns
+    kind = F.lower(T.strip("content_type")) if has("content_type") else F.lit("article")
+    slug = T.text_of("jump_slug") if has("jump_slug") else F.lit("")
+    none = F.array().cast("array<string>")
+    about = T.jaccard(*(F.array_distinct(F.coalesce(c, none)) for c in ("about", "target_about"))) if has("about") and has("target_about") else F.lit(0.0)
+    o = found.withColumn("o", T.text_overlap(F.col("text"), F.col("target_text"))).withColumn("bare", T.titleless("target_headline")).withColumn("meta", about)
+    o = o.withColumn("special", F.coalesce(kind.isin("photo_caption", "reference"), F.lit(False))).withColumn("slug_tokens", T.match_tokens(slug)).withColumn("head", T.match_text("target_headline"))
+    covered = (F.size("slug_tokens") >= 2) & (F.size(F.array_except("slug_tokens", T.match_tokens("target_headline"))) == 0)
+    o = o.withColumn("strong_slug", covered).withColumn("is_article", F.coalesce(kind == "article", F.lit(False)))
+
+    def whole(text: Column, heads: Column, slugs: Column) -> Column:
+        plain = F.when(F.col("special"), 0.68 * text + 0.32 * F.col("meta")).when(F.col("bare"), 0.72 * text + 0.28 * F.col("meta")).otherwise(0.58 * text + 0.22 * F.col("meta") + 0.20 * heads)
+        return F.least(F.lit(1.0), F.when(F.col("strong_slug"), F.greatest(plain, 0.80 * slugs + 0.20 * text)).otherwise(plain))
+
     sets = 0.38 * F.col("o.jaccard") + 0.27 * F.col("o.trigram") + 0.15 * F.col("o.min_share")
-    highest = F.when(F.col("bare"), 0.72 * (sets + 0.20)).otherwise(0.58 * (sets + 0.20) + 0.20)
-    hopeful = (F.col("o.shared") >= 3) & (sets + 0.20 >= 0.20 - 1e-4) & (highest >= F.when(F.col("bare"), 0.22).otherwise(0.25) - 1e-4)
+    one, slack, shared = F.lit(1.0), 1e-4, F.col("o.shared")
+    highest = (whole(sets + 0.20, one, one) + slack, sets + 0.20 + slack, F.col("meta") + slack, shared)
+    hopeful = F.when(F.col("special"), _good(*highest, SPECIAL, True)).when(F.col("bare"), _good(*highest, TITLELESS, False)).otherwise(_good(*highest, ARTICLE, False))
+    hopeful = hopeful | (F.col("strong_slug") & (shared >= SLUG_SHARED))
     o = o.withColumn("open", F.lit(every) | F.max(hopeful).over(W.partitionBy("article_id")))
-    near = F.when(F.col("open") & (F.col("o.shared") > 0), T.match_text(F.right("text", F.lit(900))))  # null: not compared
-    o = o.withColumn("chars", ratio(near, T.match_text(F.left("target_text", F.lit(900))))).withColumn("heads", ratio(F.when(F.col("open") & ~F.col("bare"), T.match_text("headline")), T.match_text("target_headline")))
-    named = o.withColumn("text_score", sets + 0.20 * F.col("chars"))
-    whole = F.when(F.col("bare"), 0.72 * F.col("text_score")).otherwise(0.58 * F.col("text_score") + 0.20 * F.col("heads"))
-    return named.select(F.col("article_id").alias("source_id"), "target_id", F.bround(whole, 4).alias("score"), F.bround("text_score", 4).alias("text_score"), F.col("o.shared").alias("shared"), F.col("bare").alias("titleless"))
+    filled = lambda c: F.nullif(c, F.lit(""))  # noqa: E731  (null: not compared)
+    tail, start = F.right(T.match_text(F.right(T.text_of("text"), F.lit(1800))), F.lit(900)), F.left(T.match_text(F.left(T.text_of("target_text"), F.lit(1800))), F.lit(900))
+    o = o.withColumn("heads", ratio(F.when(F.col("open") & F.col("is_article") & ~F.col("bare"), filled(T.match_text("headline"))), filled(F.col("head"))))
+    o = o.withColumn("slugs", ratio(F.when(F.col("open") & F.col("strong_slug"), T.match_text(slug)), F.col("head")))
+    sure = F.max(whole(sets, F.col("heads"), F.col("slugs"))).over(W.partitionBy("article_id"))
+    near = F.lit(every) | (F.col("open") & (whole(sets + 0.20, F.col("heads"), F.col("slugs")) >= F.col("sure") - CLEAR - 2 * slack))
+    o = o.withColumn("sure", sure).withColumn("chars", ratio(F.when(near & F.col("o.comparable"), tail), start))
+    o = o.withColumn("text_score", F.least(F.lit(1.0), sets + 0.20 * F.col("chars")))
+    rounded = lambda c, name: F.bround(c, 4).alias(name)
+    page = [F.col("own_page").cast("long").alias("source_page")] if has("own_page") else []
+    return o.select(
+        F.col("article_id").alias("source_id"), "target_id", rounded(whole(F.col("text_score"), F.col("heads"), F.col("slugs")), "score"), rounded(F.col("text_score"), "text_score"),
+        rounded(F.col("meta"), "meta_score"), F.col("o.shared").alias("shared"), F.col("bare").alias("titleless"), "special", "strong_slug", *page, *(["document_id"] if has("document_id") else []),
+    )
 
 
 def accepted(scored: DataFrame, documents: Column | None = None) -> DataFrame:
-    """One-to-one: sources in order take their best target if it is good enough, clearly ahead of the second, and free."""
+    """Document, source_id, target_id, score: sources of a document in the order of their pages and ids take their best target (score, then
+    text, then metadata) if it is good enough, clearly ahead of the second, and free. A taken target leaves later sources without one.
+
+    The document is `documents`, else the column document_id; rows without either are one document's and meet in one task.
+    """
+    optional = {"meta_score": F.lit(0.0), "special": F.lit(False), "strong_slug": F.lit(False), "source_page": F.lit(0)}
+    full = scored.withColumns({c: v for c, v in optional.items() if c not in scored.columns})
+    key = documents if documents is not None else F.col("document_id") if "document_id" in scored.columns else F.lit(0)
 
     def run(rows) -> Iterator[tuple]:
         taken: set[int] = set()
         by_source: dict[int, list] = {}
         for r in rows:
             by_source.setdefault(r.source_id, []).append(r)
-        for source in sorted(by_source):
-            ranked = sorted(by_source[source], key=lambda r: (-r.score, -r.text_score, r.target_id))
+        for source, targets in by_source.items():
+            ranked = sorted(targets, key=lambda r: (-r.score, -r.text_score, -r.meta_score, r.target_id))
             best = ranked[0]
-            clear = len(ranked) < 2 or best.score - ranked[1].score >= 0.045
-            good = best.score >= (0.22 if best.titleless else 0.25) and best.shared >= 3 and best.text_score >= 0.20
+            clear = len(ranked) < 2 or best.score - ranked[1].score >= CLEAR
+            limits = SPECIAL if best.special else TITLELESS if best.titleless else ARTICLE
+            good = _good(best.score, best.text_score, best.meta_score, best.shared, limits, best.special) or (best.strong_slug and best.shared >= SLUG_SHARED)
             if clear and good and best.target_id not in taken:
                 taken.add(best.target_id)
                 yield source, best.target_id, best.score
 
-    keyed = scored.withColumn("document", (documents if documents is not None else F.lit(0)).cast("long"))
-    return per_page(keyed, run, "source_id long, target_id long, score double", key="document", order=("source_id", "target_id"))
+    keyed = full.withColumn("document", key.cast("long")).drop("document_id")
+    return per_page(keyed, run, "source_id long, target_id long, score double", key="document", order=("source_page", "source_id", "target_id"))
 
 
 def pack(rows: list, limits: tuple[int, int]) -> Iterator[tuple[int, int]]:

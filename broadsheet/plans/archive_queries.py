@@ -100,11 +100,11 @@ def k16_clean_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.clean_links(fixtures.links(spark, sf_dir), fixtures.articles(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {ARTICLES_SQL}, {LINKS_SQL}, e AS (SELECT source_id AS a, target_id AS b FROM links UNION ALL SELECT target_id, source_id FROM links),
+@query(f"""WITH RECURSIVE {ARTICLES_SQL}, {LINKS_SQL}, e AS (SELECT source_id AS a, target_id AS b FROM links WHERE source_id <> target_id UNION ALL SELECT target_id, source_id FROM links WHERE source_id <> target_id),
 reach AS (SELECT article_id AS a, article_id AS b FROM articles UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b)
 SELECT a AS article_id, min(b) AS logical_id, CASE WHEN a IN (SELECT a FROM e) THEN 'merged' ELSE 'standalone' END AS status FROM reach GROUP BY a""")
 def k01_logical_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.logical_articles(fixtures.articles(spark, sf_dir), fixtures.links(spark, sf_dir))
+    return K.logical_articles(fixtures.articles(spark, sf_dir), fixtures.links(spark, sf_dir).filter("source_id <> target_id"))
 
 
 @query(f"{LINK} SELECT target_id % 50 AS page, source_id, confidence FROM links QUALIFY row_number() OVER (PARTITION BY target_id % 50 ORDER BY source_id) = 1")
@@ -270,23 +270,35 @@ def f30_overlap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.merged_texts(fixtures.segments(spark, sf_dir))
 
 
-def _articles_with_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles on nine pages, every fourth sending to another page."""
-    from broadsheet.plans.text_queries import with_jumps
+def _broken_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as two articles, its first and its last two thirds: the first on nine pages of a document of 25 stories, sending to the second on twelve others.
 
-    d = with_jumps(spark, sf_dir).select(F.col("doc_id").alias("article_id"), "text", F.split_part("text", F.lit("\n"), F.lit(1)).alias("headline"), (F.col("doc_id") % 9 + 1).cast("int").alias("page"), F.floor(F.col("doc_id") / 50).alias("document_id"))
-    return d.withColumn("next_page", T.jump_page(F.col("text")))
+    Every fourth first part is a photo caption, and every third marker names the words that the second part's headline begins with."""
+    from broadsheet.plans.text_queries import keyword_ranks
+
+    (d,) = tables(spark, sf_dir, "documents")
+    k, t = F.col("doc_id"), T.text_of("text")
+    most, to = F.ceil(F.length(t) * 2 / 3).cast("int"), (k % 12 + 10).cast("string")
+    opening = lambda c, n: F.array_join(F.slice(T.words(c), 1, n), " ")
+    split = d.select(k, F.left(t, most).alias("first"), F.right(t, most).alias("last"), to.alias("to"))
+    slug = F.when(k % 3 == 0, T.jump_slug(F.concat(F.lit("► "), opening("last", 3), F.lit(", Page "), F.col("to"))))
+    first = split.select((2 * k).alias("article_id"), F.floor(k / 25).alias("document_id"), (k % 9 + 1).cast("int").alias("page"), F.concat("first", F.lit("\nContinued on Page "), "to").alias("text"), F.when(k % 4 == 3, "photo_caption").otherwise("article").alias("content_type"), slug.alias("jump_slug"))
+    last = split.select((2 * k + 1).alias("article_id"), F.floor(k / 25).alias("document_id"), (k % 12 + 10).cast("int").alias("page"), F.col("last").alias("text"), F.lit("article").alias("content_type"), F.lit(None).cast("string").alias("jump_slug"))
+    a = first.unionByName(last)
+    keywords = keyword_ranks(a, "article_id", "text").groupBy("article_id").agg(F.array_sort(F.collect_list("keyword")).alias("keywords"))
+    e = T.entities("text")
+    about = T.match_tokens(F.concat_ws(" ", e["people"], e["organizations"], e["dates"], "keywords"))
+    return a.join(keywords, "article_id", "left").select(*a.columns, opening("text", 8).alias("headline"), F.array_distinct(about).alias("about"), T.jump_page(F.col("text")).alias("next_page"))
 
 
 @query()
 def k15_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates by page within a document of 50 articles, scored, matched one to one."""
-    a = _articles_with_jumps(spark, sf_dir)
-    sources = a.filter(T.source_eligible(F.lit("article"), F.col("text"), F.col("next_page")) & F.col("next_page").isNotNull()).withColumnRenamed("page", "own_page")
-    targets = a.filter(T.target_eligible(F.lit("article"), F.col("text"), F.col("headline")))
-    t = targets.select(F.col("article_id").alias("target_id"), "document_id", F.col("page").alias("next_page"), F.col("text").alias("target_text"), F.col("headline").alias("target_headline"))
-    found = sources.join(t, ["document_id", "next_page"]).filter("article_id <> target_id")
-    return K.accepted(K.score(found.repartition(4 * spark.sparkContext.defaultParallelism, "article_id")), F.floor(F.col("source_id") / 50))
+    """Candidates by page within a document, scored, matched one to one."""
+    a = _broken_stories(spark, sf_dir)
+    sources = a.filter(T.source_eligible(F.col("content_type"), F.col("text"), F.col("next_page")) & F.col("next_page").isNotNull())
+    targets = a.filter(T.target_eligible(F.col("content_type"), F.col("text"), F.col("headline")))
+    found = K.candidates(sources, targets).repartition(4 * spark.sparkContext.defaultParallelism, "article_id")
+    return K.accepted(K.score(found))
 
 
 @query()

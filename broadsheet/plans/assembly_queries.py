@@ -221,7 +221,7 @@ def j15_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def j16_heading_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = blocks(spark, sf_dir)
-    return S.headings_to_blocks(b.filter("block_id % 4 = 0").select("page_id", F.col("block_id").alias("heading_id"), F.col("text").alias("heading")), b)
+    return S.headings_to_blocks(b.select("page_id", F.col("block_id").alias("heading_id"), F.col("text").alias("heading")), b)
 
 
 @query()

@@ -205,9 +205,9 @@ def k03_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.row_groups(blocks(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {BLOCKS_SQL}, free AS (SELECT * FROM blocks WHERE block_id % 3 = 0), {_components("SELECT page_id, block_id FROM free", "SELECT a.page_id, a.block_id AS a, b.block_id AS b FROM free a JOIN free b ON a.page_id = b.page_id AND a.block_id < b.block_id AND sqrt(greatest(b.x1 - a.x2, a.x1 - b.x2, 0) ** 2 + greatest(b.y1 - a.y2, a.y1 - b.y2, 0) ** 2) <= 70")} SELECT * FROM grouped""")
+@query(f"""WITH RECURSIVE {BLOCKS_SQL}, {_components("SELECT page_id, block_id FROM blocks", "SELECT a.page_id, a.block_id AS a, b.block_id AS b FROM blocks a JOIN blocks b ON a.page_id = b.page_id AND a.block_id < b.block_id AND sqrt(greatest(b.x1 - a.x2, a.x1 - b.x2, 0) ** 2 + greatest(b.y1 - a.y2, a.y1 - b.y2, 0) ** 2) <= 70")} SELECT * FROM grouped""")
 def j18_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.clusters(blocks(spark, sf_dir).filter("block_id % 3 = 0"), PAGE_WIDTH)
+    return L.clusters(blocks(spark, sf_dir), PAGE_WIDTH)
 
 
 @query(f"{WITH} SELECT page_id, block_id, row_number() OVER (PARTITION BY page_id ORDER BY y1, x1, block_id)::INT - 1 AS reading_order FROM blocks")

@@ -103,10 +103,11 @@ def f15_is_continued(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_jumps(spark, sf_dir).select("doc_id", T.continuation("text")["is_continued"].alias("is_continued"))
 
 
-@query("""SELECT doc_id, '► ' || split_part(text, ' ', 2) || ' story, P ' || (doc_id % 30) AS marker, trim(split_part(text, ' ', 2) || ' story', ' -–—:,.') AS slug FROM documents WHERE regexp_matches(split_part(text, ' ', 2), '^[a-z]{2,}$')""")
+@query(f"""WITH m AS (SELECT doc_id, '► ' || split_part(coalesce(text, ''), ' ', 2) || ' story, P ' || (doc_id % 30) AS marker FROM documents)
+SELECT doc_id, marker, nullif(trim(regexp_extract(marker, '(?i){X.JUMP_SLUG}', 1), ' -–—:,.'), '') AS slug FROM m""")
 def f14_jump_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    word = F.split_part("text", F.lit(" "), F.lit(2))
-    marked = docs(spark, sf_dir).filter(word.rlike("^[a-z]{2,}$")).select("doc_id", F.concat(F.lit("► "), word, F.lit(" story, P "), (F.col("doc_id") % 30).cast("string")).alias("marker"))
+    word = F.split_part(T.text_of("text"), F.lit(" "), F.lit(2))
+    marked = docs(spark, sf_dir).select("doc_id", F.concat(F.lit("► "), word, F.lit(" story, P "), (F.col("doc_id") % 30).cast("string")).alias("marker"))
     return marked.select("doc_id", "marker", T.jump_slug("marker").alias("slug"))
 
 
@@ -132,11 +133,13 @@ def f19_sentence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""WITH p AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*') AS ps FROM documents),
 q AS (SELECT doc_id, [x FOR x IN ps IF regexp_matches(x, '\s') AND regexp_split_to_array(x, '\s+')[1] NOT IN {strings(X.MONTHS)}] AS people,
-  list_concat([x FOR x IN ps IF regexp_split_to_array(x, '\s+')[1] IN {strings(X.MONTHS)}], regexp_extract_all(text, '\d{{1,2}}\s+(?:{"|".join(X.MONTHS)})\s+\d{{4}}')) AS dates FROM p)
-SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(people)), '|'), '') AS people, coalesce(array_to_string(list_sort(list_distinct(dates)), '|'), '') AS dates FROM q""")
+  list_concat([x FOR x IN ps IF regexp_split_to_array(x, '\s+')[1] IN {strings(X.MONTHS)}], regexp_extract_all(text, '\d{{1,2}}\s+(?:{"|".join(X.MONTHS)})\s+\d{{4}}')) AS dates,
+  flatten([{", ".join(f"regexp_extract_all(text, '[A-Z][A-Za-z& ]+{k}')" for k in X.ORGANISATIONS)}]) AS organizations FROM p)
+SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(people)), '|'), '') AS people, coalesce(array_to_string(list_sort(list_distinct(dates)), '|'), '') AS dates,
+  coalesce(array_to_string(list_sort(list_distinct(organizations)), '|'), '') AS organizations FROM q""")
 def f22_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = docs(spark, sf_dir).select("doc_id", T.entities("text").alias("e"))
-    return e.select("doc_id", F.array_join("e.people", "|").alias("people"), F.array_join("e.dates", "|").alias("dates"))
+    return e.select("doc_id", F.array_join("e.people", "|").alias("people"), F.array_join("e.dates", "|").alias("dates"), F.array_join("e.organizations", "|").alias("organizations"))
 
 
 @query(rf"""WITH m AS (SELECT *, CASE doc_id % 5 WHEN 0 THEN 'win victory growth' WHEN 1 THEN 'fire death riot loss' WHEN 2 THEN 'win fire' WHEN 3 THEN 'win win fire fire' ELSE '' END AS tail FROM documents),

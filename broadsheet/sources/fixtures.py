@@ -50,10 +50,11 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source_id, target_id, confidence: a story goes on elsewhere."""
+    """source_id, target_id, confidence: every story goes on among its five neighbours, some in the next five, some wrongly in itself."""
     (d,) = tables(spark, sf_dir, "documents")
     k = F.col("doc_id")
-    return d.filter(k % 5 == 0).select(k.alias("source_id"), (k + 1 + k % 7).alias("target_id"), F.round(0.70 + (k % 30) / 100.0, 2).alias("confidence"))
+    target = F.when(k % 7 == 0, k).otherwise(k - k % 5 + (k % 5 * (k % 5) + 1) % 5 + F.when(k % 30 == 1, 5).otherwise(0))
+    return d.select(k.alias("source_id"), target.alias("target_id"), F.round(0.70 + (k % 30) / 100.0, 2).alias("confidence"))
 
 
 def job_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,5 +85,5 @@ SEGMENTS_SQL = """segments AS (
          CASE WHEN turn % 3 = 1 THEN concat('writer ', cast(conv_id % 5 AS varchar)) END AS author,
          CASE WHEN turn % 2 = 0 THEN date '2024-01-01' + cast((conv_id + turn) % 40 AS int) END AS article_date, text AS article_text FROM conversations)"""
 LINKS_SQL = """links AS (
-  SELECT doc_id AS source_id, doc_id + 1 + doc_id % 7 AS target_id, cast(round(0.70 + (doc_id % 30) / 100.0, 2) AS double) AS confidence FROM documents WHERE doc_id % 5 = 0)"""
+  SELECT doc_id AS source_id, CASE WHEN doc_id % 7 = 0 THEN doc_id ELSE doc_id - doc_id % 5 + (doc_id % 5 * (doc_id % 5) + 1) % 5 + CASE WHEN doc_id % 30 = 1 THEN 5 ELSE 0 END END AS target_id, cast(round(0.70 + (doc_id % 30) / 100.0, 2) AS double) AS confidence FROM documents)"""
 JOBS_SQL = """job_updates AS (SELECT event_id, user_id AS job_id, ts, event_type AS stage, round(value, 4) AS progress FROM events)"""
