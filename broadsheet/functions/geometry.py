@@ -7,6 +7,7 @@ candidate's, ``row_overlap`` by the lower height, ``inside`` by the area of one
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -119,11 +120,12 @@ def layout_distance(a: Box, b: Box) -> Column:
 
 
 def single_line_pair(a: Box, b: Box) -> Column:
-    """Two boxes that read as parts of one banner line."""
+    """Two boxes that read as parts of one banner line. Whole pixels are compared exactly: 63 is 0.35 of 180, which doubles deny."""
     low = at_least_one(F.least(a.height, b.height))
+    shift = F.lit(Decimal("0.35")) * low
     side = F.greatest(a.x1, b.x1) - F.least(a.x2, b.x2)  # negative: they overlap by so much
     return (
-        (low / at_least_one(F.greatest(a.height, b.height)) >= 0.75) & (F.abs(a.y1 - b.y1) <= 0.35 * low) & (F.abs(a.y2 - b.y2) <= 0.35 * low)
+        (low / at_least_one(F.greatest(a.height, b.height)) >= 0.75) & (F.abs(a.y1 - b.y1) <= shift) & (F.abs(a.y2 - b.y2) <= shift)
         & (side <= 0.75 * low) & (-side <= 0.5 * at_least_one(F.least(a.width, b.width)))
     )
 
