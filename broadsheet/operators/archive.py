@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -173,10 +174,10 @@ def classify(vectors: DataFrame, found: DataFrame, key: str, label: str, vector:
 
 
 def dominant_offset(votes: DataFrame, key: list[str], offset: str, least_votes: int = 3, least_share: float = 0.7) -> DataFrame:
-    """The offset that most votes name, if there are enough and they agree; ties go to the smaller offset."""
+    """The offset that most votes name, if there are enough and they agree; ties go to the smaller offset. The share is compared as the decimal it is written as."""
     n = votes.groupBy(*key, offset).agg(F.count(F.lit(1)).alias("n"))
     g = n.groupBy(*key).agg(F.max(F.struct("n", (-F.col(offset)).alias("o"))).alias("best"), F.sum("n").alias("votes"))
-    return g.filter((F.col("votes") >= least_votes) & (F.col("best.n") >= least_share * F.col("votes"))).select(*key, (-F.col("best.o")).alias(offset), F.col("best.n").alias("n"), "votes")
+    return g.filter((F.col("votes") >= least_votes) & (F.col("best.n") >= F.lit(Decimal(str(least_share))) * F.col("votes"))).select(*key, (-F.col("best.o")).alias(offset), F.col("best.n").alias("n"), "votes")
 
 
 def page_map(folios: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Values that lie exactly on a limit, and numbers longer than their format."""
 
+from broadsheet.operators import archive
 from broadsheet.operators import layout as L
 
 
@@ -12,3 +13,12 @@ def test_banner_parts_may_be_shifted_by_exactly_their_limit(spark):
         rows += [(2 * page + 1, 1, "title", 0, 100, 200, 100 + height), (2 * page + 1, 2, "title", 210, 101 + by, 400, 101 + by + height)]
     got = {(r.page_id, r.block_id): r.group_id for r in L.banner_groups(spark.createDataFrame(rows, fields)).collect()}
     assert got == {(r[0], r[1]): 1 if r[0] % 2 == 0 else r[1] for r in rows}
+
+
+def test_an_offset_may_have_exactly_the_least_share(spark):
+    votes = range(20, 2001, 20)
+    enough = [(n, 1 if k < n * 55 // 100 else 2 + k) for n in votes for k in range(n)]
+    short = [(-n, 1 if k < n * 55 // 100 - 1 else 2 + k) for n in votes for k in range(n)]
+    df = spark.createDataFrame(enough + short, "key long, offset int")
+    got = archive.dominant_offset(df, ["key"], "offset", 3, 0.55).collect()
+    assert sorted((r.key, r.offset, r.n, r.votes) for r in got) == [(n, 1, n * 55 // 100, n) for n in votes]
