@@ -148,9 +148,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def next_document_id(documents: DataFrame) -> DataFrame:
-    """One row, document_id: one above the largest number in use."""
-    n = F.max(F.regexp_extract("document_id", r"^doc_(\d+)$", 1).try_cast("int"))
-    return documents.agg(F.concat(F.lit("doc_"), F.lpad((F.coalesce(n, F.lit(0)) + 1).cast("string"), 6, "0")).alias("document_id"))
+    """One row, document_id: one above the largest number in use, in six digits or as many as it has."""
+    n = F.max(F.regexp_extract("document_id", r"^doc_(\d+)$", 1).try_cast("long"))
+    return documents.agg(F.format_string("doc_%06d", F.coalesce(n, F.lit(0)) + 1).alias("document_id"))
 
 
 # Centroids and votes
