@@ -36,6 +36,11 @@ def words(c: Column | str) -> Column:
     return F.filter(F.split(text_of(c), r"(?U)\s+"), lambda w: w != "")
 
 
+def first_words(c: Column | str, n: int) -> Column:
+    """The first n words: the rest of the text is not split."""
+    return F.slice(F.filter(F.split(text_of(c), r"(?U)\s+", n + 2), lambda w: w != ""), 1, n)
+
+
 def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
@@ -179,8 +184,12 @@ def first_match(c: Column, pattern: str, group: int = 1) -> Column:
 
 def jump_page(*candidates: Column) -> Column:
     """The page that a text sends to: for each candidate in turn, the phrase pattern, then the bare page."""
-    found = [first_match(text_of(c), f"(?iu){p}") for c in candidates for p in (X.TARGET_PHRASE, X.TARGET_PAGE)]
-    return F.coalesce(*found).try_cast("int")
+
+    def page(c: Column) -> Column:  # a phrase ends in a bare page, so it is sought only where there is one; what a match may begin with saves trying it elsewhere
+        phrase = first_match(text_of(c), f"(?iu)(?=[mcrfts]){X.TARGET_PHRASE}")
+        return bind(first_match(text_of(c), f"(?iu)(?=p){X.TARGET_PAGE}"), lambda bare: F.when(bare.isNotNull(), F.coalesce(phrase, bare)))
+
+    return F.coalesce(*(page(c) for c in candidates)).try_cast("int")
 
 
 def jump_slug(marker: Column | str) -> Column:
@@ -253,9 +262,13 @@ def source_eligible(kind: Column, text: Column, page: Column) -> Column:
     return ((k == "article") & (F.length(strip(text)) >= 60)) | (k.isin("photo_caption", "reference") & page.isNotNull())
 
 
+#: Fixed value: characters of a text on its side of the break that its scores go by.
+NEAR_BREAK = 1800
+
+
 def text_overlap(source: Column, target: Column) -> Column:
     """Struct: parts of the text score of two texts (the end of one, the beginning of the other) but for the characters, shared tokens, whether both have any."""
-    tokens = F.struct(match_tokens(F.right(text_of(source), F.lit(1800))).alias("a"), match_tokens(F.left(text_of(target), F.lit(1800))).alias("b"))
+    tokens = F.struct(match_tokens(F.right(text_of(source), F.lit(NEAR_BREAK))).alias("a"), match_tokens(F.left(text_of(target), F.lit(NEAR_BREAK))).alias("b"))
     sets = bind(tokens, lambda t: F.struct(F.array_distinct(t["a"]).alias("x"), F.array_distinct(t["b"]).alias("y"), trigrams(t["a"]).alias("g"), trigrams(t["b"]).alias("h")))
     return bind(sets, _overlap)
 

@@ -12,7 +12,7 @@ from broadsheet.operators import search as S
 from broadsheet.plans.registry import query
 from broadsheet.sources import adapters, documents, fixtures
 from broadsheet.sources.fixtures import ARTICLES_SQL, BLOCKS_SQL, JOBS_SQL, LINKS_SQL, SEGMENTS_SQL
-from broadsheet.storage import tables
+from broadsheet.storage import materialise, tables
 from broadsheet.streaming import jobs
 
 ART, SEG = f"WITH {ARTICLES_SQL}", f"WITH {SEGMENTS_SQL}"
@@ -274,29 +274,31 @@ def _broken_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as two articles, its first and its last two thirds: the first on nine pages of a document of 25 stories, sending to the second on twelve others.
 
     Every fourth first part is a photo caption, and every third marker names the words that the second part's headline begins with."""
-    from broadsheet.plans.text_queries import keyword_ranks
-
     (d,) = tables(spark, sf_dir, "documents")
     k, t = F.col("doc_id"), T.text_of("text")
     most, to = F.ceil(F.length(t) * 2 / 3).cast("int"), (k % 12 + 10).cast("string")
-    opening = lambda c, n: F.array_join(F.slice(T.words(c), 1, n), " ")
+    opening = lambda c, n: F.array_join(T.first_words(c, n), " ")
     split = d.select(k, F.left(t, most).alias("first"), F.right(t, most).alias("last"), to.alias("to"))
     slug = F.when(k % 3 == 0, T.jump_slug(F.concat(F.lit("► "), opening("last", 3), F.lit(", Page "), F.col("to"))))
     first = split.select((2 * k).alias("article_id"), F.floor(k / 25).alias("document_id"), (k % 9 + 1).cast("int").alias("page"), F.concat("first", F.lit("\nContinued on Page "), "to").alias("text"), F.when(k % 4 == 3, "photo_caption").otherwise("article").alias("content_type"), slug.alias("jump_slug"))
     last = split.select((2 * k + 1).alias("article_id"), F.floor(k / 25).alias("document_id"), (k % 12 + 10).cast("int").alias("page"), F.col("last").alias("text"), F.lit("article").alias("content_type"), F.lit(None).cast("string").alias("jump_slug"))
     a = first.unionByName(last)
-    keywords = keyword_ranks(a, "article_id", "text").groupBy("article_id").agg(F.array_sort(F.collect_list("keyword")).alias("keywords"))
     e = T.entities("text")
-    about = T.match_tokens(F.concat_ws(" ", e["people"], e["organizations"], e["dates"], "keywords"))
-    return a.join(keywords, "article_id", "left").select(*a.columns, opening("text", 8).alias("headline"), F.array_distinct(about).alias("about"), T.jump_page(F.col("text")).alias("next_page"))
+    about = T.match_tokens(F.concat_ws(" ", e["people"], e["organizations"], e["dates"], K.keywords_udf()("text")))
+    return a.select(*a.columns, opening("text", 8).alias("headline"), F.array_distinct(about).alias("about"), T.jump_page(F.col("text")).alias("next_page"))
 
 
 @query()
 def k15_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates by page within a document, scored, matched one to one."""
-    a = _broken_stories(spark, sf_dir)
-    sources = a.filter(T.source_eligible(F.col("content_type"), F.col("text"), F.col("next_page")) & F.col("next_page").isNotNull())
-    targets = a.filter(T.target_eligible(F.col("content_type"), F.col("text"), F.col("headline")))
+    kind, text = F.col("content_type"), F.col("text")
+    source = T.source_eligible(kind, text, F.col("next_page")) & F.col("next_page").isNotNull()
+    told = _broken_stories(spark, sf_dir).withColumns({"is_source": source, "is_target": T.target_eligible(kind, text, F.col("headline"))})
+    # Scores read a source's end and a target's beginning: only these go on, and every story is worked out once for both sides.
+    near = {"ending": F.right(T.text_of("text"), F.lit(T.NEAR_BREAK)), "opening": F.left(T.text_of("text"), F.lit(T.NEAR_BREAK))}
+    a = materialise(told.withColumns(near).drop("text"), "stories")
+    sources = a.filter("is_source").withColumnRenamed("ending", "text").drop("opening", "is_source", "is_target")
+    targets = a.filter("is_target").withColumnRenamed("opening", "text").drop("ending", "is_source", "is_target")
     found = K.candidates(sources, targets).repartition(4 * spark.sparkContext.defaultParallelism, "article_id")
     return K.accepted(K.score(found))
 
