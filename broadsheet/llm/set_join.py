@@ -33,8 +33,9 @@ SALT_ABOVE = 1 << 22
 #: Units of one record or more that one task verifies together.
 BIN_RECORDS = 2048
 PAIRS_AT_ONCE, LINKS_AT_ONCE = 1 << 16, 1 << 20
-#: Postings of an element from which on they are paired row by row.
-MANY = 128
+#: Postings of an element from which on they are paired row by row. Below, the pairs of all elements are worked out together: the calls for a row and
+#: the links for an element would cost more than its pairs.
+MANY = 1024
 
 
 @dataclass
