@@ -198,7 +198,8 @@ def score(found: DataFrame, every: bool = False) -> DataFrame:
     none = F.array().cast("array<string>")
     about = T.jaccard(*(F.array_distinct(F.coalesce(c, none)) for c in ("about", "target_about"))) if has("about") and has("target_about") else F.lit(0.0)
     ends = found.withColumn("ending", T.match_text(F.right(T.text_of("text"), F.lit(T.NEAR_BREAK)))).withColumn("opening", T.match_text(F.left(T.text_of("target_text"), F.lit(T.NEAR_BREAK))))
-    o = ends.withColumn("o", overlap_udf()("ending", "opening")).withColumn("bare", T.titleless("target_headline")).withColumn("meta", about)
+    told = ends.withColumns({"o": overlap_udf()("ending", "opening"), "tail": F.right("ending", F.lit(900)), "start": F.left("opening", F.lit(900))})
+    o = told.drop("text", "target_text", "ending", "opening").withColumn("bare", T.titleless("target_headline")).withColumn("meta", about)
     o = o.withColumn("special", F.coalesce(kind.isin("photo_caption", "reference"), F.lit(False))).withColumn("slug_tokens", T.match_tokens(slug)).withColumn("head", T.match_text("target_headline"))
     covered = (F.size("slug_tokens") >= 2) & (F.size(F.array_except("slug_tokens", T.match_tokens("target_headline"))) == 0)
     o = o.withColumn("strong_slug", covered).withColumn("is_article", F.coalesce(kind == "article", F.lit(False)))
@@ -214,12 +215,11 @@ def score(found: DataFrame, every: bool = False) -> DataFrame:
     hopeful = hopeful | (F.col("strong_slug") & (shared >= SLUG_SHARED))
     o = o.withColumn("open", F.lit(every) | F.max(hopeful).over(W.partitionBy("article_id")))
     filled = lambda c: F.nullif(c, F.lit(""))  # noqa: E731  (null: not compared)
-    tail, start = F.right("ending", F.lit(900)), F.left("opening", F.lit(900))
     o = o.withColumn("heads", ratio(F.when(F.col("open") & F.col("is_article") & ~F.col("bare"), filled(T.match_text("headline"))), filled(F.col("head"))))
     o = o.withColumn("slugs", ratio(F.when(F.col("open") & F.col("strong_slug"), T.match_text(slug)), F.col("head")))
     sure = F.max(whole(sets, F.col("heads"), F.col("slugs"))).over(W.partitionBy("article_id"))
     near = F.lit(every) | (F.col("open") & (whole(sets + 0.20, F.col("heads"), F.col("slugs")) >= F.col("sure") - CLEAR - 2 * slack))
-    o = o.withColumn("sure", sure).withColumn("chars", ratio(F.when(near & F.col("o.comparable"), tail), start))
+    o = o.withColumn("sure", sure).withColumn("chars", ratio(F.when(near & F.col("o.comparable"), F.col("tail")), F.col("start")))
     o = o.withColumn("text_score", F.least(F.lit(1.0), sets + 0.20 * F.col("chars")))
     rounded = lambda c, name: F.bround(c, 4).alias(name)
     page = [F.col("own_page").cast("long").alias("source_page")] if has("own_page") else []

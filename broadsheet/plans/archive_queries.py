@@ -295,12 +295,11 @@ def k15_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = T.source_eligible(kind, text, F.col("next_page")) & F.col("next_page").isNotNull()
     told = _broken_stories(spark, sf_dir).withColumns({"is_source": source, "is_target": T.target_eligible(kind, text, F.col("headline"))})
     # Scores read a source's end and a target's beginning: only these go on, and every story is worked out once for both sides.
-    near = {"ending": F.right(T.text_of("text"), F.lit(T.NEAR_BREAK)), "opening": F.left(T.text_of("text"), F.lit(T.NEAR_BREAK))}
+    near = {"ending": F.when(F.col("is_source"), F.right(T.text_of("text"), F.lit(T.NEAR_BREAK))), "opening": F.when(F.col("is_target"), F.left(T.text_of("text"), F.lit(T.NEAR_BREAK)))}
     a = materialise(told.withColumns(near).drop("text"), "stories")
     sources = a.filter("is_source").withColumnRenamed("ending", "text").drop("opening", "is_source", "is_target")
     targets = a.filter("is_target").withColumnRenamed("opening", "text").drop("ending", "is_source", "is_target")
-    found = K.candidates(sources, targets).repartition(4 * spark.sparkContext.defaultParallelism, "article_id")
-    return K.accepted(K.score(found))
+    return K.accepted(K.score(K.candidates(sources, targets)))
 
 
 @query()
